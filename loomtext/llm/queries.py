@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .packing import pack
+from .token_counts import section_tokens
+from .token_files import read_token_files, write_token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +21,32 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def _vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line; a token across a boundary counts where most of its characters lie."""
+    return section_tokens(_read(spark, sf_dir, "documents"), _vocabulary(), rule="majority")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token files of all documents and reads them back."""
+    return read_token_files(write_token_files(_read(spark, sf_dir, "documents"), _vocabulary()))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return pack(_read(spark, sf_dir, "documents"), _vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op4_token_files": op4_token_files,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {}
