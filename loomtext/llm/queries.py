@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import secret_scan
+from .decontaminate import contamination
+from .language_id import held_out, identify
 from .near_dedup import near_duplicates
 from .packing import pack
 from .token_counts import section_tokens
@@ -37,16 +41,37 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(_read(spark, sf_dir, "documents"), _vocabulary()))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the three quarters that aren't held out."""
+    out = identify(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against all benchmark windows."""
+    out = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.drop("key")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return pack(_read(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base findings and owner-specific bare tokens of every document."""
+    out = secret_scan.scan(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
+    "op5_language_id": op5_language_id,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {}
