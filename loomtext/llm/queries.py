@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import secret_scan
+from .bitsliced import top_k
 from .decontaminate import contamination
 from .language_id import held_out, identify
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import quality
 from .token_counts import section_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -47,6 +49,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality; hosts are sources, paths the languages within them."""
+    return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every twentieth vector id."""
+    vectors = _read(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all benchmark windows."""
     out = contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -69,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
+    "op6_quality": op6_quality,
+    "op7_topk": op7_topk,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES  # noqa: E402, F401
