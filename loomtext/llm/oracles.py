@@ -41,3 +41,39 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_
        coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
 FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+ORACLES["op1_quotations"] = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+lines AS (
+  SELECT conv_id, turn, line, len(regexp_replace(regexp_extract(line, '^([ \t]*(?:>[ \t]*)+)', 1), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '')), '\s+', ' ', 'g')) AS norm
+  FROM m, unnest(string_split(text, chr(10))) AS t(line)
+),
+per AS (SELECT conv_id, turn, count(*) AS n_quoted, max(level) AS max_level FROM lines WHERE level > 0 GROUP BY ALL),
+asked AS (SELECT DISTINCT conv_id, turn, level, norm FROM lines WHERE level > 0 AND regexp_matches(norm, '[\p{L}\p{N}]')),
+first AS (SELECT conv_id, norm, min(turn) AS source FROM lines WHERE level = 0 GROUP BY ALL),
+found AS (
+  SELECT a.conv_id, a.turn, a.level, f.source, count(*) AS n
+  FROM asked a JOIN first f ON a.conv_id IS NOT DISTINCT FROM f.conv_id AND a.norm = f.norm AND f.source < a.turn GROUP BY ALL
+),
+parents AS (
+  SELECT conv_id, turn, source AS reply_to, CAST(total AS BIGINT) AS n_linked
+  FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id, turn) AS total, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, source DESC) AS r FROM found) WHERE r = 1
+),
+walk AS (
+  SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM parents
+  UNION ALL
+  SELECT w.conv_id, w.turn, p.reply_to, w.depth + 1 FROM walk w JOIN parents p ON w.conv_id IS NOT DISTINCT FROM p.conv_id AND w.root = p.turn
+),
+chain AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM walk GROUP BY ALL),
+turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM m))
+SELECT m.conv_id, m.turn, m.role,
+       regexp_replace(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*(?:>[ \t]*)+')), chr(10)), '^\s+|\s+$', '', 'g') AS content,
+       coalesce(per.n_quoted, 0) AS n_quoted, coalesce(per.max_level, 0) AS max_level, coalesce(p.n_linked, 0) AS n_linked,
+       coalesce(p.reply_to, t.before) AS reply_to, coalesce(c.root, m.turn) AS thread, CAST(coalesce(c.depth, 0) AS BIGINT) AS depth
+FROM m
+LEFT JOIN per ON m.conv_id IS NOT DISTINCT FROM per.conv_id AND m.turn = per.turn
+LEFT JOIN parents p ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.turn = p.turn
+LEFT JOIN chain c ON m.conv_id IS NOT DISTINCT FROM c.conv_id AND m.turn = c.turn
+LEFT JOIN turns t ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.turn = t.turn
+"""

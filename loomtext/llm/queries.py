@@ -14,6 +14,7 @@ from .language_id import held_out, identify
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
+from .quotations import conversations, in_reply_order
 from .token_counts import section_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -22,6 +23,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations without quotes, in reply order."""
+    return in_reply_order(conversations(_read(spark, sf_dir, "conversations")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at three-word shingles and a similarity of 0.85."""
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -78,6 +84,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotations": op1_quotations,
     "op2_near_dedup": op2_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_token_files": op4_token_files,
