@@ -97,46 +97,36 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bucke
     return langs, np.log(counts / counts.sum(0)).astype(np.float32) if langs else counts.astype(np.float32)
 
 
-def _predict(langs: list[str], model, buckets: int):
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` columns with lang_pred and score, the posterior probability at equal priors.
+
+    A null text or one without a letter is ``und`` with score 0, as is everything if nothing was learned. Equal
+    scores go to the first language by name.
+    """
+    langs, matrix = model
+    sent, buckets = docs.sparkSession.sparkContext.broadcast(matrix), len(matrix)
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    slim = docs.select(*[F.col(f"`{c}`") for c in (keep if text_col in keep else [*keep, text_col])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = model.value
         for b in batches:
-            for lo, hi in C.steps(b["text"], C.STEP_BYTES // 2):
+            for lo, hi in C.steps(b.column(at), C.STEP_BYTES // 2):
                 part = b.slice(lo, hi - lo)
-                found, begin, letters = grams(part["text"], buckets)
+                text = part.column(at)
+                found, begin, letters = grams(text, buckets)
                 pred, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
                 if langs:
-                    total = sum(np.add.reduceat(matrix[g], begin[:-1], axis=0, dtype=np.float64) for g in found)
+                    total = sum(np.add.reduceat(sent.value[g], begin[:-1], axis=0, dtype=np.float64) for g in found)
                     total = np.exp(total - total.max(1, keepdims=True))
-                    best = total.argmax(1)
                     known = letters > 0
                     for k in np.flatnonzero(~known):  # letters beyond the first 65,536 code points
-                        known[k] = any(x.isalpha() for x in part["text"][int(k)].as_py() or "")
-                    pred[known] = np.array(langs, object)[best[known]]
+                        known[k] = any(x.isalpha() for x in text[int(k)].as_py() or "")
+                    pred[known] = np.array(langs, object)[total.argmax(1)[known]]
                     score[known] = (total.max(1) / total.sum(1))[known]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred.tolist(), pa.string()), pa.array(score)], [*part.schema.names[:-1], "lang_pred", "score"])
-    return run
-
-
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns with lang_pred and score, the posterior probability at equal priors.
-
-    A null text or one without a letter is ``und`` with score 0, as is everything if nothing was learned. Equal
-    scores go to the first language by name. The text itself is returned if ``keep`` names it.
-    """
-    langs, matrix = model
-    sent = docs.sparkSession.sparkContext.broadcast(matrix)
-    slim = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
-    renamed = slim.withColumnRenamed("__text", "text") if "text" not in keep else slim
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = (pa.RecordBatch.from_arrays(b.columns, [f"c{k}" for k in range(len(b.columns) - 1)] + ["text"]) for b in batches)
-        for out in inner(named):
-            yield pa.RecordBatch.from_arrays(out.columns, [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred.tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    inner = _predict(langs, sent, len(matrix))
-    return renamed.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keep)])
+    return slim.mapInArrow(run, f"{kept}, lang_pred string, score double")
 
 
 def held_out(id_col: Column, part: int = 2, of: int = 4) -> Column:

@@ -86,6 +86,11 @@ def _index(folder: str):
     return run
 
 
+def _dealt(parts: DataFrame) -> DataFrame:
+    """Parts over as many tasks as a shuffle has; few small rows would otherwise go to one."""
+    return parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes every text's ids and ``end_id``, by doc_id; returns the parts: part, n_docs, n_tokens, base, folder, kind.
 
@@ -100,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     parts = C.written(dealt.mapInArrow(_write(folder, tokenizer, end_id, kind), "part int, n_docs long, n_tokens long"))
     # a row for each part, not for each document
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    based = parts.withColumn("base", before).repartition("part")
+    based = _dealt(parts.withColumn("base", before))
     return C.written(based.mapInArrow(_index(folder), "part int, n_docs long, n_tokens long, base long").withColumns({"folder": F.lit(folder), "kind": F.lit(kind)}))
 
 
@@ -123,4 +128,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(parts: DataFrame) -> DataFrame:
     """What the files of ``write_token_files`` hold: doc_id, start, n_tokens, ids_crc32 of each document."""
-    return parts.repartition("part").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(parts).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
