@@ -1 +1,187 @@
-"""Queries."""
+"""Queries of sections, chunks, aspects and contexts. Documents stand for jobs: source for the company, first line for the title."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import aspects as A
+from ..operators import chunking as C
+from ..operators import context as X
+from .ngram_queries import grams_sql
+from .registry import query
+from .search_queries import BM25_SQL
+from .search_queries import _bm as bm25_of
+from .tables import table
+from .text_queries import line_sql
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+
+
+SOFT_SQL = "list_filter(list_transform(string_split(text, chr(10)), lambda x: " + line_sql("x") + "), lambda x: x <> '')"
+
+SCORE_SQL = f"""
+ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos, l FROM (SELECT doc_id, {SOFT_SQL} AS l FROM documents)),
+w AS (SELECT *, list_filter(string_split(regexp_replace(line, ':+$', ''), ' '), lambda x: x <> '') AS ws, l[pos + 2 : pos + 4] AS nxt FROM ln),
+sc AS (SELECT doc_id, pos, line, CASE WHEN line = '' OR len(line) > 60 OR (len(ws) < 2 AND NOT ends_with(line, ':')) THEN 0 ELSE
+  CASE WHEN ends_with(line, ':') AND len(ws) <= 8 THEN 3 ELSE 0 END
+  + CASE WHEN upper(line) = line AND lower(line) <> line AND len(line) > 3 THEN 2 ELSE 0 END
+  + CASE WHEN len(ws) BETWEEN 2 AND 8 AND len(list_filter(ws, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= 0.6 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN len(list_filter(nxt, lambda x: regexp_matches(x, '^\\s*([•\\-*–]\\s+|\\d+\\.\\s+)'))) > 0 THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(line, '^\\d+\\.\\s+') THEN 1 ELSE 0 END END AS score FROM w)"""
+
+
+@query("x3_header_scores", f"WITH {SCORE_SQL} SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(score AS INTEGER) AS score FROM sc")
+def x3(spark: SparkSession, d: str) -> DataFrame:
+    return C.header_lines(C.lines(_docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "pos", "score")
+
+
+@query("x1_sections", f"SELECT doc_id, array_to_string({SOFT_SQL}, chr(10)) AS text, CAST(0 AS INTEGER) AS start_line, CAST(len({SOFT_SQL}) - 1 AS INTEGER) AS end_line FROM documents WHERE len({SOFT_SQL}) > 0")
+def x1(spark: SparkSession, d: str) -> DataFrame:
+    return C.sections(_docs(spark, d), "doc_id", "text").select("doc_id", "text", "start_line", "end_line")
+
+
+@query("x6_structural_sections", None)
+def x2_x6(spark: SparkSession, d: str) -> DataFrame:
+    return C.sections(_docs(spark, d), "doc_id", "text", "structural")
+
+
+@query("x7_sentences", r"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS sentence FROM s, unnest(generate_series(1, len(s))) AS t(i)")
+def x7(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("x11_chunks", None)
+def x8_x11(spark: SparkSession, d: str) -> DataFrame:
+    return C.chunks(_docs(spark, d), "doc_id", "text")
+
+
+@query("x12_structural_chunks", None)
+def x12(spark: SparkSession, d: str) -> DataFrame:
+    return C.chunks(_docs(spark, d), "doc_id", "text", "structural")
+
+
+def _cut_sql(before: str, now: str) -> str:
+    return f"ltrim(substring({now}, 1 + list_max(list_filter(generate_series(0, least(250, len({before}), len({now}))), lambda n: starts_with({now}, right({before}, n)))), 300000))"
+
+
+@query("c12_overlap_removed", f"WITH p AS (SELECT doc_id, left(text, 300) AS a, CASE WHEN len(substring(text, 201, 400)) > 100 THEN substring(text, 201, 400) ELSE '' END AS b, CASE WHEN len(substring(text, 501, 400)) > 100 THEN substring(text, 501, 400) ELSE '' END AS c FROM documents) SELECT doc_id, array_to_string(list_filter([a, {_cut_sql('a', 'b')}, {_cut_sql('b', 'c')}], lambda p: p <> ''), chr(10) || chr(10)) AS full_text FROM p")
+def c12(spark: SparkSession, d: str) -> DataFrame:
+    cut = F.posexplode(F.array(*[F.substring("text", max(1, 300 * k + 1 - 100 * (k > 0)), 300 + 100 * (k > 0)) for k in range(3)]))
+    rows = _docs(spark, d).select("doc_id", cut.alias("order", "text")).filter((F.col("order") == 0) | (F.length("text") > 100))
+    return C.without_overlap(rows, "doc_id", "order", "text")
+
+
+@query("x13_reassembled_sections", None)
+def x13_r13(spark: SparkSession, d: str) -> DataFrame:
+    whole = C.without_overlap(C.chunks(_docs(spark, d), "doc_id", "text"), "doc_id", "order", "text", 160)
+    return C.sections(whole, "doc_id", "full_text", "structural").withColumn("name", F.coalesce("name", F.lit("intro")))
+
+
+@query("g9_assembled_texts", "SELECT source, string_agg(left(text, 100), ' ' ORDER BY doc_id) AS full_text FROM documents GROUP BY source")
+def g9_t2(spark: SparkSession, d: str) -> DataFrame:
+    return C.assembled(_docs(spark, d).withColumn("text", F.left("text", F.lit(100))), "source", "doc_id", "text")
+
+
+@query("w5_labelling_texts", "SELECT source, left(string_agg(text, ' ' ORDER BY doc_id), 500) AS t FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY source")
+def w5(spark: SparkSession, d: str) -> DataFrame:
+    return C.assembled(_docs(spark, d), "source", "doc_id", "text", most=3).select("source", T.snippet(F.col("full_text"), 500).alias("t"))
+
+
+@query("f12_section_chunks", "SELECT source, doc_id, left(text, 300) AS text FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE lower(lang) = 'de') WHERE n <= 10")
+def f12(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).select("source", F.col("doc_id").alias("order"), F.col("lang").alias("section"), "text")
+    return C.section_chunks(rows, "source", "DE").select("source", F.col("order").alias("doc_id"), "text")
+
+
+VOCAB_SQL = f"vocab AS (SELECT ngram AS term FROM ({'WITH ' + grams_sql(1, 2) + ' SELECT ngram FROM grams WHERE frequency BETWEEN 40 AND 80 AND len(ngram) > 4'}))"
+
+
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.ngrams import corpus_ngrams
+
+    grams = corpus_ngrams(_docs(spark, d), "doc_id", "text", 1, 2).filter("frequency between 40 and 80 and length(ngram) > 4")
+    return grams.select(F.lit("skills").alias("aspect"), F.col("ngram").alias("term"))
+
+
+@query("a8_vocabulary_substrings", f"WITH {VOCAB_SQL} SELECT doc_id, term, CAST(instr(lower(text), term) AS INTEGER) AS pos FROM documents JOIN vocab ON contains(lower(text), term)")
+def a8(spark: SparkSession, d: str) -> DataFrame:
+    return A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d), "substring").select("doc_id", "term", "pos")
+
+
+#: The same words without look-around: a mark belongs to a word if a word character follows it.
+@query("a7_vocabulary_words", None)
+def a7(spark: SparkSession, d: str) -> DataFrame:
+    return A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d)).select("doc_id", "term", "value", "pos")
+
+
+@query("a10_corpus_aspects", None)
+def a1_a10(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", T.html_to_lines(F.col("html")).alias("text"))
+    return A.extract(pages, "page_id", "text", _vocabulary(spark, d))
+
+
+@query("g3_aspect_distribution", f"WITH {VOCAB_SQL} SELECT term AS value, count(DISTINCT doc_id) AS n FROM documents JOIN vocab ON contains(lower(text), term) GROUP BY term ORDER BY n DESC, value LIMIT 50")
+def g3(spark: SparkSession, d: str) -> DataFrame:
+    hits = A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d), "substring")
+    return A.distribution(hits, "doc_id", _docs(spark, d), "skills")[0]
+
+
+@query("g3_aspect_coverage", f"WITH {VOCAB_SQL}, h AS (SELECT DISTINCT doc_id FROM documents JOIN vocab ON contains(lower(text), term)) SELECT count(*) AS jobs_with_values, (SELECT count(DISTINCT doc_id) FROM documents) AS total, round(count(*) / greatest((SELECT count(DISTINCT doc_id) FROM documents), 1), 3) AS coverage FROM h")
+def g3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    hits = A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d), "substring")
+    return A.distribution(hits, "doc_id", _docs(spark, d), "skills")[1]
+
+
+@query("g4_aspect_values", f"WITH {VOCAB_SQL} SELECT DISTINCT term AS value FROM documents JOIN vocab ON contains(lower(text), term)")
+def g4(spark: SparkSession, d: str) -> DataFrame:
+    return A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d), "substring").select("value").distinct().orderBy("value")
+
+
+@query("r11_side_by_side", f"WITH {VOCAB_SQL}, h AS (SELECT doc_id, string_agg(term, ',' ORDER BY term) AS v FROM documents JOIN vocab ON contains(lower(text), term) GROUP BY doc_id) SELECT doc_id, coalesce(v, '') AS \"values\" FROM labels LEFT JOIN h USING (doc_id)")
+def r11(spark: SparkSession, d: str) -> DataFrame:
+    hits = A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d), "substring").withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("term")))
+    return A.side_by_side(hits, table(spark, d, "labels").select("doc_id"), "doc_id", "skills").select("doc_id", F.array_join("values", ",").alias("values"))
+
+
+@query("f8_jobs_with_skills", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'password') OR contains(lower(text), 'token')) AND contains(lower(lang), 'e')")
+def f8(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.predicates import has_text
+
+    vocab = spark.createDataFrame([("skills", "password"), ("skills", "token")], "aspect string, term string")
+    hits = A.vocabulary_hits(_docs(spark, d), "doc_id", "text", vocab, "substring")
+    return A.filter_jobs(_docs(spark, d), hits, "doc_id", ["Password", "token"], None, has_text(F.col("lang"), "E")).select("doc_id")
+
+
+def _context_sql(tier: int) -> str:
+    most, chars, _ = X.TIERS[tier]
+    head = "'[' || rank || '] ' || left(text, 20) || ' — ' || source || ' [' || lang || ']'" if tier == 1 else "'## ' || left(text, 20) || ' — ' || source" + (" || ' [' || lang || ']'" if tier == 2 else "")
+    return f"""WITH {BM25_SQL}, b AS (SELECT query_id, rank, {head} || chr(10) || left(text, {chars}) AS p FROM bmr JOIN documents USING (doc_id) WHERE rank <= {most}),
+c AS (SELECT *, sum(len(p) // 4 + 1) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cost FROM b)
+SELECT query_id, string_agg(p, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_used FROM c WHERE cost <= 4000 GROUP BY query_id"""
+
+
+def _register_context(tier: int) -> None:
+    @query(f"v{tier + 1}_context", _context_sql(tier))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from ..operators.search import best
+
+        top = best(bm25_of(spark, d), "query_id", "doc_id", "bm25", X.TIERS[tier][0]).join(_docs(spark, d), "doc_id")
+        part = X.block(tier, F.col("rank"), F.left("text", F.lit(20)), F.col("source"), F.col("text"), F.col("lang"))
+        return X.context(top, tier, "query_id", "rank", part)
+
+
+for _tier in (1, 2, 3):
+    _register_context(_tier)
+
+
+@query("v1_summary_context", f"WITH {BM25_SQL}, b AS (SELECT query_id, rank, '- ' || left(text, 20) || ' @ ' || source || ' | lang: ' || lang || ' | kw: a, b' AS p FROM bmr JOIN documents USING (doc_id) WHERE rank <= 50), c AS (SELECT *, sum(len(p) // 4 + 1) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cost FROM b) SELECT query_id, string_agg(p, chr(10) ORDER BY rank) AS context, count(*) AS n_used FROM c WHERE cost <= 4000 GROUP BY query_id")
+def v1(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators.search import best
+
+    top = best(bm25_of(spark, d), "query_id", "doc_id", "bm25", 50).join(_docs(spark, d), "doc_id")
+    line = T.summary_line(F.left("text", F.lit(20)), F.col("source"), F.create_map(F.lit("lang"), F.array("lang")), F.array(F.lit("a"), F.lit("b")))
+    return X.context(top, 0, "query_id", "rank", line)
