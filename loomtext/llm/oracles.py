@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL expresses at whole length."""
 
+from . import secret_scan
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op7_topk"] = """
@@ -70,10 +72,54 @@ turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY tu
 SELECT m.conv_id, m.turn, m.role,
        regexp_replace(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*(?:>[ \t]*)+')), chr(10)), '^\s+|\s+$', '', 'g') AS content,
        coalesce(per.n_quoted, 0) AS n_quoted, coalesce(per.max_level, 0) AS max_level, coalesce(p.n_linked, 0) AS n_linked,
-       coalesce(p.reply_to, t.before) AS reply_to, coalesce(c.root, m.turn) AS thread, CAST(coalesce(c.depth, 0) AS BIGINT) AS depth
+       coalesce(p.reply_to, t.before, -1) AS reply_to, coalesce(c.root, m.turn) AS thread, CAST(coalesce(c.depth, 0) AS BIGINT) AS depth
 FROM m
 LEFT JOIN per ON m.conv_id IS NOT DISTINCT FROM per.conv_id AND m.turn = per.turn
 LEFT JOIN parents p ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.turn = p.turn
 LEFT JOIN chain c ON m.conv_id IS NOT DISTINCT FROM c.conv_id AND m.turn = c.turn
 LEFT JOIN turns t ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.turn = t.turn
 """
+
+ORACLES["op2_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS t(i) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM n UNION SELECT e.b, reach.r FROM reach JOIN edges e ON e.a = reach.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v AS doc_id, min(r) AS c FROM reach GROUP BY v) c USING (doc_id)
+"""
+
+
+def _matches(kind: str, no: int, pattern: str, value: int, keep: str) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {no} AS no, v[i] AS value,
+         CAST(list_sum(list_transform(g[1 : i], lambda x: len(x))) + coalesce(list_sum(list_transform(f[1 : i - 1], lambda x: len(x))), 0) AS BIGINT) AS start,
+         CAST(list_sum(list_transform(g[1 : i], lambda x: len(x))) + list_sum(list_transform(f[1 : i], lambda x: len(x))) AS BIGINT) AS stop
+  FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS f, regexp_extract_all(text, '{p}', {value}) AS v, string_split_regex(text, '{p}') AS g FROM d WHERE regexp_matches(text, '{p}')),
+       unnest(generate_series(1, len(f))) AS t(i) WHERE {keep}"""
+
+
+ORACLES["op10_secret_scan"] = (
+    "WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), base AS ("
+    + " UNION ALL ".join([_matches("assign", 1, secret_scan.ASSIGN, 2, "len(v[i]) >= 6"), _matches("access", 2, secret_scan.ACCESS, 0, "true"), _matches("hex", 3, secret_scan.HEX, 0, "true")])
+    + "), bare AS ("
+    + _matches("bare", 4, secret_scan.BARE, 0, "regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]')")
+    + """), every AS (
+  SELECT * FROM base UNION ALL SELECT * FROM bare b WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.doc_id = b.doc_id AND s.start < b.stop AND b.start < s.stop)
+), freq AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repos FROM every JOIN d USING (doc_id) GROUP BY value),
+rated AS (SELECT e.*, owners <= 1 AND repos <= 20 AS live FROM every e JOIN freq USING (value)),
+per AS (
+  SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (live OR kind <> 'bare') AS spans, count(*) FILTER (live) AS n_live,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (kind <> 'bare') AS base,
+         count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex
+  FROM rated GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN per USING (doc_id)
+"""
+)

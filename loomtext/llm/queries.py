@@ -24,8 +24,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations without quotes, in reply order."""
-    return in_reply_order(conversations(_read(spark, sf_dir, "conversations")))
+    """All conversations without quotes, in reply order; reply_to is -1 where there is none."""
+    linked = conversations(_read(spark, sf_dir, "conversations"))
+    return in_reply_order(linked.withColumn("reply_to", F.coalesce("reply_to", F.lit(-1))))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
