@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Character classes and word lists of the data formats.
 SEARCH_TOKEN = r"[A-Za-z0-9_#+.\-]+"
@@ -22,7 +23,7 @@ BLOCK_TAGS = "p|li|div|h1|h2|h3|h4|h5|h6"
 _SPACE = r"(?U)\s+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(_html.unescape, na_action="ignore")

@@ -10,6 +10,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -93,7 +94,7 @@ def g_statistic(f1: Column, n1: Column, f2: Column, n2: Column) -> Column:
     return F.when((n1 <= 0) | (n2 <= 0) | (f1 <= 0) | (f2 <= 0), F.lit(0.0)).otherwise(g)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def p_value(g: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom; Spark has no erfc."""
     return g.map(lambda x: math.erfc(math.sqrt(x / 2)), na_action="ignore")
