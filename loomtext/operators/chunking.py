@@ -165,3 +165,16 @@ def section_chunks(rows: DataFrame, key: str, section: str | None, limit: int =
     kept = rows if section is None else rows.filter(F.lower(F.coalesce("section", F.lit(""))) == section.lower())
     n = F.row_number().over(Window.partitionBy(key).orderBy("order"))
     return kept.withColumn("_n", n).filter(F.col("_n") <= limit).select(key, "order", "section", T.snippet(F.col("text"), 300).alias("text"))
+
+
+def details(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_chunks, chunks, full_text, sections): a document's chunks in order, its text without overlaps, and that text's sections.
+
+    The arrays hold one document's own pieces.
+    """
+    rows = chunks(docs, key, text)
+    ordered = F.array_sort(F.collect_list(F.struct("order", "section", "text")))
+    per = rows.groupBy(key).agg(F.count("*").alias("n_chunks"), ordered.alias("chunks"))
+    whole = without_overlap(rows, key, "order", "text")
+    own = sections(whole, key, "full_text", "structural").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_line", F.coalesce("name", F.lit("intro")).alias("name"), "text"))).alias("sections"))
+    return docs.join(per, key).join(whole, key).join(own, key, "left")

@@ -6,8 +6,12 @@ ranking and ties go to the smaller id, so results don't depend on the order of s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import predicates as P
 from ..functions import text as T
@@ -72,6 +76,18 @@ def hybrid(vector_top: DataFrame, keyword_top: DataFrame, query_id: str, key: st
     return best(both.select(query_id, key, (alpha * F.coalesce("score", F.lit(0.0)) + (1 - alpha) * scaled).alias("score")), query_id, key, "score", k)
 
 
+def condition(where: Column | Callable[[dict], bool], columns: list[str]) -> Column:
+    """A caller's row predicate: a column as it is, a function of a row's ``columns`` (a dict) in Arrow batches."""
+    if isinstance(where, Column):
+        return where
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([bool(where(r)) for r in rows.to_dict("records")], dtype="bool")
+
+    run.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(run, BooleanType())(F.struct(*columns))
+
+
 def filtered(scored: DataFrame, keep: Column, query_id: str, key: str, score: str, k: int, mode: str = "pre", oversample: int = 120) -> DataFrame:
     """``pre``: the k best rows that meet ``keep``; ``post``: those of the max(k, oversample) best that do, k at most."""
     if mode == "pre":

@@ -76,11 +76,17 @@ def c12(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("x13_reassembled_sections", None)
-def x13_r13(spark: SparkSession, d: str) -> DataFrame:
+def x13(spark: SparkSession, d: str) -> DataFrame:
     whole = C.without_overlap(C.chunks(_docs(spark, d), "doc_id", "text"), "doc_id", "order", "text", 160)
     return C.sections(whole, "doc_id", "full_text", "structural").withColumn("name", F.coalesce("name", F.lit("intro")))
 
 
+@query("r13_job_details", None)
+def r13(spark: SparkSession, d: str) -> DataFrame:
+    out = C.details(_docs(spark, d), "doc_id", "text")
+    return out.select("doc_id", "lang", "source", "n_chunks", F.size("sections").alias("n_sections"), F.md5("full_text").alias("text_md5"))
+
+
 @query("g9_assembled_texts", "SELECT source, string_agg(left(text, 100), ' ' ORDER BY doc_id) AS full_text FROM documents GROUP BY source")
 def g9_t2(spark: SparkSession, d: str) -> DataFrame:
     return C.assembled(_docs(spark, d).withColumn("text", F.left("text", F.lit(100))), "source", "doc_id", "text")

@@ -82,6 +82,11 @@ def test_windows_overlap_and_come_back(jobs):
     assert whole == "\n\n".join(want)
 
 
+def test_details(jobs):
+    r = C.details(jobs.filter("store_id = '1'"), "job_key", "description").first()
+    assert r.n_chunks == 3 and [c["order"] for c in r.chunks] == [0, 1, 2] and r.full_text.count("\n\n") == 2 and [s.name for s in r.sections] == ["intro"]
+
+
 def test_structural_headers(spark):
     docs = spark.createDataFrame([(1, "What You Will Do:\n- dig\n- hoe\nOUR STACK\n- spade\nPython\nSome plain text here\nPerks\nlunch")], "k long, t string")
     rows = C.header_lines(C.lines(docs, "k", "t"), "k").orderBy("pos").collect()

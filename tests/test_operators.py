@@ -115,6 +115,14 @@ def test_budgets_and_rerank(spark):
     assert S.reranked(rows, None, "q", "cost", 2).count() == 2
 
 
+def test_row_predicates(spark):
+    rows = spark.createDataFrame([(1, k, float(k), "ab"[k % 2]) for k in range(6)], "q int, k int, s double, lang string")
+    for where in (F.col("lang") == "a", lambda r: r["lang"] == "a"):
+        keep = S.condition(where, ["lang"])
+        assert [r.k for r in S.filtered(rows, keep, "q", "k", "s", 2).orderBy("rank").collect()] == [4, 2]
+        assert [r.k for r in S.filtered(rows, keep, "q", "k", "s", 2, "post", 2).collect()] == [4]
+
+
 def test_folded_turns(spark):
     df = spark.createDataFrame([(10, 0), (11, 6), (16, 6), (17, 12)], "t int, want int")
     assert df.filter(X.folded(F.col("t")) != F.col("want")).count() == 0
