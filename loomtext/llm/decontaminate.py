@@ -28,6 +28,8 @@ from . import common as C
 WINDOW = 13
 #: Benchmark words that are sent to every task; a larger benchmark is joined instead.
 SENT_WORDS = 500_000
+#: Of the bitmap of candidate texts that every task gets: 1 MB, however many there are.
+FILTER_BITS = 1 << 23
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -145,6 +147,26 @@ def probes(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
     return two.filter("least is not null and (rank = 1 or freq <= 8 * least)").select("item_no", "start", "at", "word")
 
 
+def _possible(rows: DataFrame, cands: DataFrame) -> DataFrame:
+    """``rows`` whose key may be among the candidates' keys; all that are, and few others, so that few texts are shuffled.
+
+    The candidates' keys set bits of a bitmap of fixed size; the fuller it is, the more rows pass in vain.
+    """
+    bit = F.pmod("key", F.lit(FILTER_BITS))
+    words = cands.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    for w, bits in words.collect():  # FILTER_BITS / 64 rows at most
+        bitmap[w] = bits
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b["key"].to_numpy() % FILTER_BITS
+            yield b.filter(pa.array((sent.value[at // 64] >> (at % 64)) & 1 == 1))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _exact(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +227,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     aligned = lists.join(needs, "item_no").filter(meets).select("doc_id", "key", "item_no", "diagonal")
     cands = aligned.join(bench.select("item_no", "item", "hashes"), "item_no").groupBy("doc_id", "key").agg(F.collect_list(F.struct("item", "hashes", "diagonal")).alias("cands"))
     cands = C.written(cands)
-    found = C.null_safe(_slim(docs, id_col, text_col), cands, ["doc_id", "key"], "inner").select("doc_id", "key", "text", "cands")
+    found = C.null_safe(_possible(_slim(docs, id_col, text_col), cands), cands, ["doc_id", "key"], "inner").select("doc_id", "key", "text", "cands")
     found = found.mapInArrow(_exact(window), "doc_id long, key long, n_hit long, n_items long, items_sha256 string").dropDuplicates(["doc_id", "key"])
     sizes = index.filter("word is null").select("doc_id", "key", "n_words")
     out = C.null_safe(sizes, C.written(found), ["doc_id", "key"], "left")
