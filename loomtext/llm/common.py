@@ -55,6 +55,31 @@ def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Dat
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{c}" for c in on])
 
 
+#: Bits of a bitmap that every task gets: 1 MB, however many keys set one.
+BITMAP_BITS = 1 << 23
+
+
+def bit(key: Column) -> Column:
+    """The place of a 64-bit key in a bitmap."""
+    return F.pmod(key, F.lit(BITMAP_BITS))
+
+
+def bitmap(places: DataFrame):
+    """A broadcast bitmap (64-bit words) of the column ``at`` of places; the fuller it is, the less it tells apart.
+
+    It lets tasks drop most rows that a later join would drop, before they are shuffled.
+    """
+    words = places.groupBy(F.expr("at div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    for w, bits in words.collect():  # BITMAP_BITS / 64 rows at most
+        out[w] = bits
+    return places.sparkSession.sparkContext.broadcast(out)
+
+
+def is_set(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (words[at // 64] >> (at % 64)) & 1 == 1
+
+
 # --- text in Arrow batches ------------------------------------------------------------------------------------------
 
 def _table(lower: bool, blank: list[int]) -> np.ndarray:
