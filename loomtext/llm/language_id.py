@@ -21,6 +21,8 @@ ORDERS = (2, 3)
 UNKNOWN = "und"
 #: Of the broadcast matrix; more languages than fit are an error.
 MODEL_MB = 128
+#: Text scored or counted at a time: an n-gram takes some 60 bytes meanwhile.
+STEP_BYTES = 1 << 20
 
 
 @cache
@@ -69,7 +71,7 @@ def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for lo, hi in C.steps(b["text"]):
+            for lo, hi in C.steps(b["text"], STEP_BYTES):
                 text, lang = b["text"].slice(lo, hi - lo), b["lang"].slice(lo, hi - lo).to_pylist()
                 found, begin, _ = grams(text, buckets)
                 names = sorted(set(lang))
@@ -110,7 +112,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in C.steps(b.column(at), C.STEP_BYTES // 2):
+            for lo, hi in C.steps(b.column(at), STEP_BYTES):
                 part = b.slice(lo, hi - lo)
                 text = part.column(at)
                 found, begin, letters = grams(text, buckets)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from . import common as C
 
 #: Pieces that a worker remembers; beyond it, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[97:123] = 1
