@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, with the query's parameters, and one row of each id."""
-    found = common.written(near_dedup.near_duplicates(docs, shingle=3, percent=85))
+    """Keeps the smallest doc_id of each group of near copies (0.8 of the five-word shingles), and one row of each id."""
+    found = common.written(near_dedup.near_duplicates(docs))
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = common.written(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"))

@@ -33,3 +33,22 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    def words(a, b):
+        return [f"w{k}" for k in range(a, b)]
+
+    def similarity(x, y, size):
+        a, b = ({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (x, y))
+        return len(a & b) / len(a | b)
+
+    base, long = words(0, 100), words(1000, 1200)
+    scattered = [f"e{k}" if k % 40 == 20 else w for k, w in enumerate(long)]
+    copies = [[*base, *words(200, 222)], base[:82], [*base[:47], *words(300, 306), *base[53:]]]
+    assert all(0.8 <= similarity(base, c, 5) and similarity(base, c, 3) < 0.85 for c in copies)
+    assert similarity(long, scattered, 5) < 0.8 and similarity(long, scattered, 3) >= 0.85
+    for copy in copies:
+        rows = [(k, " ".join(w)) for k, w in enumerate([base, copy, long, scattered])]
+        kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
