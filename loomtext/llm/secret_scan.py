@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Base findings are three kinds of pattern matches. Beyond them, every long mixed token is a candidate: the hash of its
-value is counted over the corpus by distinct repositories and owners. A value that one owner alone has, in few
-repositories, looks like a live credential and its spans are added (kind ``bare``); a value that several owners have is
-a widely copied example. The same frequencies tell live base findings from examples.
+value is counted over the corpus by distinct repositories and owners. A value that one owner alone has, however often,
+looks like a live credential and its spans are added (kind ``bare``); a value that several owners have is a widely
+copied example. The same frequencies tell live base findings from examples. A limit on repositories can be set where
+they are real ones.
 
 Positions come from splitting a text at the matches of a pattern: the lengths of what lies between and of the matches
 add up to code-point offsets, so the regular expression alone decides what matches.
@@ -23,8 +24,10 @@ HEX = r"[0-9a-f]{24,}"
 #: A candidate: 16 or more of these characters, with a digit, a letter and no base finding around it.
 BARE = r"[A-Za-z0-9+/_-]{16,}"
 KINDS = ("assign", "access", "hex", "bare")
-#: A value of at most so many repositories of a single owner looks live.
-LIVE_OWNERS, LIVE_REPOS = 1, 20
+#: A value of at most so many owners looks live.
+LIVE_OWNERS = 1
+#: The limit on repositories in the SQL of op 10's query; no default of ``scan``.
+LIVE_REPOS = 20
 
 _SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 
@@ -59,14 +62,15 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def ownership(candidates: DataFrame, live_owners: int = LIVE_OWNERS, live_repos: int = LIVE_REPOS) -> DataFrame:
+def ownership(candidates: DataFrame, live_owners: int = LIVE_OWNERS, live_repos: int | None = None) -> DataFrame:
     """(hash, owners, repos, live) of candidates (hash, owner, repo): counts of distinct ones, added up before each shuffle."""
     pairs = candidates.groupBy("hash", "owner", "repo").agg(F.count("*").alias("c"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).withColumn("live", (F.col("owners") <= live_owners) & (F.col("repos") <= live_repos))
+    few = F.lit(True) if live_repos is None else F.col("repos") <= live_repos
+    return owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).withColumn("live", (F.col("owners") <= live_owners) & few)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", live_owners: int = LIVE_OWNERS, live_repos: int = LIVE_REPOS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", live_owners: int = LIVE_OWNERS, live_repos: int | None = None) -> DataFrame:
     """doc_id, key, n_assign, n_access, n_hex, base (listed), spans (listed), found (array), n_live, for each row of ``docs``.
 
     ``found``: all spans with value and ``live`` (null owners and repositories count as one owner or repository of

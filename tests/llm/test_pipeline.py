@@ -52,3 +52,11 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
         rows = [(k, " ".join(w)) for k, w in enumerate([base, copy, long, scattered])]
         kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
         assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_a_value_that_its_only_owner_repeats_is_redacted(spark):
+    own, copied = "q7RtW2mXz9LpK4sVb1", "EXAMPLEkey0123456789x"
+    rows = [(k, f"see {own} in {k} and {copied}", "s1") for k in range(30)] + [(30, f"{copied} again", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, docs, "").collect()}
+    assert got == {k: t.replace(own, "[SECRET]") for k, t, _ in rows}
