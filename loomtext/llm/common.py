@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,37 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """What a worker keeps from task to task: ``make()`` of the last ``key`` only, so a worker that turns to other work forgets."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def give_back(keeps: bool) -> None:
+    """Freed memory goes back to the system, and what was kept is freed unless the worker ``keeps`` it."""
+    if not keeps:
+        _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(step, keeps: bool = False):
+    """``step`` for a worker that gives memory back after each task, as it idles beside the tasks of other stages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            give_back(keeps)
+    return run
+
+
 def null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Equi-join in which null keys match; the right side's keys are dropped."""
     marked = right.select(*[F.col(c).alias(f"__r_{c}") if c in on else F.col(c) for c in right.columns])
@@ -137,7 +169,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     if not len(words):
         return np.zeros(0, np.uint64)
     coded = words.dictionary_encode()
-    each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
     return each[coded.indices.to_numpy(zero_copy_only=False)]
 
 

@@ -73,7 +73,7 @@ def _cut(tokenizer: str, end_id: int, limit: int):
         if bundle:
             item(bundle)
         yield from flush()
-    return run
+    return C.lean(run, keeps=True)
 
 
 def _knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:

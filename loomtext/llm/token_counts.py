@@ -11,43 +11,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import Encoder
-
-
-def line_sections(text: str, longest: int) -> np.ndarray:
-    """(first, end) code points of each line with its line break; longer lines are cut every ``longest`` characters."""
-    if not text:
-        return np.zeros((0, 2), np.int64)
-    ends, at = [], 0
-    for line in text.split("\n"):
-        end = at + len(line) + 1
-        ends += [*range(at + longest, end - 1, longest), end]
-        at = end
-    ends = np.minimum(np.array(ends, np.int64), len(text))
-    ends = ends[np.concatenate(([True], ends[1:] > ends[:-1]))]
-    return np.stack([np.concatenate(([0], ends[:-1])), ends], 1)
-
-
-def attributed(span: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token its section and the share it counts there. ``sections``: disjoint, in order; span and result by token."""
-    n = len(sections)
-    if not n:
-        return np.full(len(span), -1), np.ones(len(span))
+from .tokens import Encoder, ragged
+
+
+def line_sections(texts: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) code points of each line with its line break, over all texts put together, and the text of each.
+
+    Lines longer than ``longest`` characters are cut every ``longest`` ones. Null and empty texts have no line.
+    """
+    raw, off = C.utf8(texts)
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    ends = np.union1d(points[np.flatnonzero(raw == 10) + 1], points[off[1:]])
+    ends = ends[ends > 0]
+    first = np.concatenate(([0], ends))[:-1]
+    # a line break does not count for the length of its line
+    broken = np.isin(ends, points[np.flatnonzero(raw == 10) + 1])
+    more = np.maximum(ends - first - broken - 1, 0) // longest
+    cuts = first.repeat(more) + longest * (ragged(np.zeros(len(more), np.int64), more) + 1)
+    ends = np.union1d(ends, cuts)
+    sections = np.stack((np.concatenate(([0], ends))[:-1], ends), 1).astype(np.int64)
+    return sections, np.searchsorted(points[off[1:]], sections[:, 0], "right")
+
+
+def listed_sections(lists: list, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``line_sections``, from lists of structs by text, and the number of each in its list."""
+    rows = []
+    for k, sections in enumerate(lists):
+        rows += sorted((k, x["start"], x["end"], j) for j, x in enumerate(sections or []) if x and x["start"] is not None and x["end"] is not None and x["start"] < x["end"])
+    got = np.array(rows, np.int64).reshape(-1, 4)
+    return got[:, 1:3] + base[got[:, 0]][:, None], got[:, 0], got[:, 3]
+
+
+def shares(span: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, section, share): what each token counts where; section -1: outside. ``sections``: disjoint, in order."""
+    every = np.arange(len(span))
+    if not len(sections):
+        return every, np.full(len(span), -1), np.ones(len(span))
+    stop = np.maximum(span[:, 1], span[:, 0] + 1)
     first = np.searchsorted(sections[:, 1], span[:, 0], "right")  # the first section that ends after the token begins
-    last = np.searchsorted(sections[:, 0], np.maximum(span[:, 1], span[:, 0] + 1), "left") - 1  # the last one that begins before it ends
+    last = np.searchsorted(sections[:, 0], stop, "left") - 1  # the last one that begins before it ends
     many = np.maximum(last - first + 1, 0)
-    token = np.repeat(np.arange(len(span)), many)
-    of = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[token]
-    part = np.minimum(sections[of, 1], np.maximum(span[token, 1], span[token, 0] + 1)) - np.maximum(sections[of, 0], span[token, 0])
+    if rule != "split" and (many <= 1).all():
+        inside = many == 1 if rule == "majority" else (many == 1) & (sections[np.minimum(first, len(sections) - 1), 0] <= span[:, 0])
+        return every, np.where(inside, first, -1), np.ones(len(span))
+    token = np.repeat(every, many)
+    of = ragged(first, many)
+    part = np.minimum(sections[of, 1], stop[token]) - np.maximum(sections[of, 0], span[token, 0])
     if rule == "split":
         whole = np.maximum(span[:, 1] - span[:, 0], 1)
         share, left = part / whole[token], 1 - np.bincount(token, part / whole[token], len(span))
         rest = np.flatnonzero(left > 1e-12)
-        return np.concatenate([of, np.full(len(rest), -1)]), np.concatenate([share, left[rest]])
+        return np.concatenate([token, rest]), np.concatenate([of, np.full(len(rest), -1)]), np.concatenate([share, left[rest]])
     out = np.full(len(span), -1)
     if rule == "first":
         holds = sections[of, 0] <= span[token, 0]
@@ -56,36 +75,39 @@ def attributed(span: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.nd
         order = np.lexsort((of, -part, token))
         lead = order[np.concatenate(([True], token[order][1:] != token[order][:-1]))] if len(order) else order
         out[token[lead]] = of[lead]
-    return out, np.ones(len(span))
+    return every, out, np.ones(len(span))
 
 
 def _count(tokenizer: str, rule: str, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder.of(tokenizer)
+        enc = Encoder.of(tokenizer, spans=True)
         for b in batches:
             for lo, hi in C.steps(b["text"]):
                 part = b.slice(lo, hi - lo)
                 _, span, off = enc.encode_spans(part["text"])
-                own = part["sections"].to_pylist() if "sections" in part.schema.names else None
-                rows: list[list[np.ndarray]] = [[], [], [], [], []]
-                for k, text in enumerate(part["text"].to_pylist()):
-                    if own is not None:
-                        s = sorted((x["start"], x["end"], j) for j, x in enumerate(own[k] or []) if x and x["start"] is not None and x["end"] is not None and x["start"] < x["end"])
-                        order, s = np.array([x[2] for x in s], np.int64), np.array([x[:2] for x in s], np.int64).reshape(-1, 2)
-                    else:
-                        s = line_sections(text or "", longest)
-                        order = np.arange(len(s))
-                    at, share = attributed(span[off[k] : off[k + 1]], s, rule)
-                    sums = np.bincount(at + 1, share, len(s) + 1)
-                    if sums[0] > 1e-9:
-                        s, order, sums = np.concatenate(([[0, 0]], s)), np.concatenate(([-1], order)), sums
-                    else:
-                        sums = sums[1:]
-                    for x, y in zip(rows, (np.full(len(s), k), order, s[:, 0], s[:, 1], sums), strict=True):
-                        x.append(y)
-                of, order, first, end, sums = (np.concatenate(x) for x in rows)
-                yield pa.record_batch({"doc_id": part["doc_id"].take(pa.array(of.astype(np.int64))), "section": pa.array(order.astype(np.int64)), "start": pa.array(first.astype(np.int64)), "end": pa.array(end.astype(np.int64)), "n_tokens": pa.array(sums.astype(np.float64))})
-    return run
+                size = pc.fill_null(pc.utf8_length(part["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                base = np.cumsum(size) - size
+                of = np.repeat(np.arange(len(part)), np.diff(off))
+                if "sections" in part.schema.names:
+                    sections, text, order = listed_sections(part["sections"].to_pylist(), base)
+                else:
+                    sections, text = line_sections(part["text"], longest)
+                    order = np.arange(len(text)) - np.searchsorted(text, text, "left")
+                inside = np.clip(sections, base[text][:, None], np.append(base, size.sum())[text + 1][:, None])  # as far as the text goes
+                token, at, share = shares(span + base[of][:, None], inside, rule)
+                held = at >= 0
+                sums = np.bincount(at[held], share[held], len(sections))
+                lost = np.bincount(of[token[~held]], share[~held], len(part))
+                out = np.flatnonzero(lost > 1e-9)
+                none = np.zeros(len(out), np.int64)
+                yield pa.record_batch({
+                    "doc_id": part["doc_id"].take(pa.array(np.concatenate((text, out)))),
+                    "section": pa.array(np.concatenate((order, none - 1))),
+                    "start": pa.array(np.concatenate((sections[:, 0] - base[text], none))),
+                    "end": pa.array(np.concatenate((sections[:, 1] - base[text], none))),
+                    "n_tokens": pa.array(np.concatenate((sums, lost[out])).astype(np.float64)),
+                })
+    return C.lean(run, keeps=True)
 
 
 def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "majority", sections_col: str | None = None, longest_line: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

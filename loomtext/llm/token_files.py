@@ -56,6 +56,12 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
         return np.frombuffer(f.read(size), kind)
 
 
+def _size(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer).get_vocab_size()
+
+
 def _write(folder: str, tokenizer: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc = TaskContext.get().partitionId(), Encoder.of(tokenizer)
@@ -74,7 +80,7 @@ def _write(folder: str, tokenizer: str, end_id: int, kind: str):
         _put(folder, f"part-{part:06d}.doc", iter([np.concatenate(ids).astype("<i8").tobytes() if ids else b""]))
         _put(folder, f"part-{part:06d}.loc", iter([np.concatenate(([0], np.cumsum(n))).astype("<i8").tobytes()]))
         yield pa.record_batch({"part": pa.array([part], pa.int32()), "n_docs": pa.array([len(n)], pa.int64()), "n_tokens": pa.array([int(n.sum())], pa.int64())})
-    return run
+    return C.lean(run, keeps=True)
 
 
 def _index(folder: str):
@@ -99,7 +105,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     """
     spark = docs.sparkSession
     folder = folder or f"{C.shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
-    kind = "<u2" if max(Encoder.of(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    kind = "<u2" if max(_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = slim.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     parts = C.written(dealt.mapInArrow(_write(folder, tokenizer, end_id, kind), "part int, n_docs long, n_tokens long"))
@@ -128,4 +134,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(parts: DataFrame) -> DataFrame:
     """What the files of ``write_token_files`` hold: doc_id, start, n_tokens, ids_crc32 of each document."""
-    return _dealt(parts).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(parts).mapInArrow(C.lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -1,11 +1,16 @@
+import random
+import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
+from loomtext.llm import tokens
 from loomtext.llm.packing import pack, patterns
-from loomtext.llm.token_counts import attributed, line_sections, section_tokens
+from loomtext.llm.token_counts import line_sections, section_tokens, shares
 from loomtext.llm.token_files import read_token_files, write_token_files
 from loomtext.llm.tokens import Encoder
 
@@ -25,10 +30,12 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_encoder_equals_whole_encoding(vocabulary, texts):
-    enc = Encoder(vocabulary)
-    for own in (texts, texts[:3], texts[3:5], []):
-        ids, off = enc.encode(pa.array(own, pa.string()))
+@pytest.mark.parametrize("remembered", [200_000, 50])
+def test_encoder_equals_whole_encoding(vocabulary, texts, monkeypatch, remembered):
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    plain, enc = Encoder(vocabulary), Encoder(vocabulary, spans=True)
+    for own in (texts, texts[:3], texts[3:5], [], *[texts[k : k + 7] for k in range(0, len(texts), 7)]):
+        ids, off = plain.encode(pa.array(own, pa.string()))
         ids2, span, off2 = enc.encode_spans(pa.array(own, pa.string()))
         for k, e in enumerate(whole(vocabulary, own)):
             assert ids[off[k] : off[k + 1]].tolist() == e.ids, own[k]
@@ -36,6 +43,26 @@ def test_encoder_equals_whole_encoding(vocabulary, texts):
             assert [tuple(x) for x in span[off2[k] : off2[k + 1]].tolist()] == e.offsets, own[k]
 
 
+def test_encoder_of_words_of_every_latin_letter(vocabulary):
+    rng = random.Random(11)
+    letters = [chr(c) for c in range(33, 0x180) if chr(c).isalpha()]
+    own = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(300)) for _ in range(5)]
+    ids, off = Encoder(vocabulary).encode(pa.array(own))
+    _, span, _ = Encoder(vocabulary, spans=True).encode_spans(pa.array(own))
+    for k, e in enumerate(whole(vocabulary, own)):
+        assert ids[off[k] : off[k + 1]].tolist() == e.ids
+        assert [tuple(x) for x in span[off[k] : off[k + 1]].tolist()] == e.offsets
+
+
+def test_a_vocabulary_of_other_rules_is_encoded_whole(texts):
+    other = str(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, off = Encoder(other).encode(pa.array(texts, pa.string()))
+    _, span, _ = Encoder(other, spans=True).encode_spans(pa.array(texts, pa.string()))
+    for k, e in enumerate(whole(other, texts)):
+        assert ids[off[k] : off[k + 1]].tolist() == e.ids, texts[k]
+        assert [tuple(x) for x in span[off[k] : off[k + 1]].tolist()] == e.offsets
+
+
 def test_files_round_trip(spark, vocabulary, texts):
     got = read_token_files(write_token_files(frame(spark, texts), vocabulary)).collect()
     ids = [e.ids + [2] for e in whole(vocabulary, texts)]
@@ -93,12 +120,72 @@ def test_patterns_hold_the_demand_near_the_bound():
 def test_rules_for_crossing_tokens():
     span = np.array([[0, 2], [2, 5], [5, 9], [20, 22]])
     sections = np.array([[0, 3], [3, 6], [6, 10]])
-    assert attributed(span, sections, "majority")[0].tolist() == [0, 1, 2, -1]
-    assert attributed(span, sections, "first")[0].tolist() == [0, 0, 1, -1]
-    of, share = attributed(span, sections, "split")
+    assert shares(span, sections, "majority")[1].tolist() == [0, 1, 2, -1]
+    assert shares(span, sections, "first")[1].tolist() == [0, 0, 1, -1]
+    token, of, share = shares(span, sections, "split")
     assert np.allclose(np.bincount(of + 1, share, 4), [1, 1 + 1 / 3, 2 / 3 + 1 / 4, 3 / 4])
-    assert line_sections("ab\n\ncdefg", 3).tolist() == [[0, 3], [3, 4], [4, 7], [7, 9]]
-    assert len(line_sections("", 3)) == 0
+    assert np.allclose(np.bincount(token, share), 1)
+    got, text = line_sections(pa.array(["ab\n\ncdefg", None, "", "é\n"]), 3)
+    assert got.tolist() == [[0, 3], [3, 4], [4, 7], [7, 9], [9, 11]] and text.tolist() == [0, 0, 0, 0, 3]
+    assert len(line_sections(pa.array(["", None], pa.string()), 3)[0]) == 0
+
+
+def counts_brute(encoded, text, sections, rule):
+    """A plain loop over tokens, sections and characters."""
+    sums = {}
+    for a, z in encoded.offsets:
+        places = [next((k for k, (s, e) in enumerate(sections) if s <= c < e), -1) for c in range(a, max(z, a + 1))]
+        if rule == "split":
+            for p in places:
+                sums[p] = sums.get(p, 0) + 1 / len(places)
+        else:
+            held = [p for p in places if p >= 0]
+            best = (places[0] if rule == "first" else max(sorted(set(held)), key=held.count)) if held else -1
+            sums[best] = sums.get(best, 0) + 1
+    return sums
+
+
+def lines_brute(text, longest):
+    out, at = [], 0
+    for line in re.findall(r"[^\n]*\n|[^\n]+$", text):
+        body = len(line.rstrip("\n"))
+        cuts = [at, *range(at + longest, at + body, longest), at + len(line)]
+        out += list(zip(cuts, cuts[1:]))
+        at += len(line)
+    return out
+
+
+@pytest.mark.parametrize("rule", ["majority", "first", "split"])
+def test_section_counts_equal_a_plain_loop(spark, vocabulary, texts, rule):
+    for longest in (500, 7):
+        want = {}
+        for k, (text, e) in enumerate(zip(texts[:-2], whole(vocabulary, texts[:-2]), strict=True)):
+            lines = lines_brute(text or "", longest)
+            sums = counts_brute(e, text or "", lines, rule)
+            want |= {(k, j): (a, z, sums.get(j, 0)) for j, (a, z) in enumerate(lines)}
+            if -1 in sums:
+                want[k, -1] = (0, 0, sums[-1])
+        rows = section_tokens(frame(spark, texts[:-2]), vocabulary, rule=rule, longest_line=longest).collect()
+        got = {(7 if r.doc_id is None else r.doc_id, r.section): (r.start, r.end, r.n_tokens) for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-6 for k in want)
+
+
+def test_own_sections_equal_a_plain_loop(spark, vocabulary):
+    rng, rows, want = random.Random(12), [], {}
+    for k in range(60):
+        text = "".join(rng.choice(["Éab", "cde", ",", " ", "x", "12"]) for _ in range(rng.randint(0, 40)))
+        cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 4))))
+        sections = list(zip(cuts[::2], cuts[1::2]))
+        order = rng.sample(range(len(sections)), len(sections))
+        rows.append((k, text, [sections[j] for j in order]))
+        sums = counts_brute(whole(vocabulary, [text])[0], text, sections, "majority")
+        want |= {(k, j): sums.get(at, 0) for j, at in enumerate(order)} | ({(k, -1): sums[-1]} if -1 in sums else {})
+    rows += [(70, None, [(0, 3)]), (71, "a b", None), (72, "a b", [(2, 1), (None, 1)])]
+    want |= {(70, 0): 0, (71, -1): 2, (72, -1): 2}
+    own = spark.createDataFrame(rows, "doc_id long, text string, f array<struct<start:long,end:long>>")
+    assert {(r.doc_id, r.section): r.n_tokens for r in section_tokens(own, vocabulary, sections_col="f").collect()} == want
+    assert section_tokens(own.filter("false"), vocabulary, sections_col="f").count() == 0
 
 
 def test_section_counts_add_up(spark, vocabulary, texts):
