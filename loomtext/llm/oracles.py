@@ -47,8 +47,8 @@ FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 ORACLES["op1_quotations"] = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 lines AS (
-  SELECT conv_id, turn, line, len(regexp_replace(regexp_extract(line, '^([ \t]*(?:>[ \t]*)+)', 1), '[^>]', '', 'g')) AS level,
-         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', '')), '\s+', ' ', 'g')) AS norm
+  SELECT conv_id, turn, line, len(regexp_replace(regexp_extract(line, '^([ \t]*>[> \t]*)', 1), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*>[> \t]*', '')), '\s+', ' ', 'g')) AS norm
   FROM m, unnest(string_split(text, chr(10))) AS t(line)
 ),
 per AS (SELECT conv_id, turn, count(*) AS n_quoted, max(level) AS max_level FROM lines WHERE level > 0 GROUP BY ALL),
@@ -70,7 +70,7 @@ walk AS (
 chain AS (SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM walk GROUP BY ALL),
 turns AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT DISTINCT conv_id, turn FROM m))
 SELECT m.conv_id, m.turn, m.role,
-       regexp_replace(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*(?:>[ \t]*)+')), chr(10)), '^\s+|\s+$', '', 'g') AS content,
+       regexp_replace(array_to_string(list_filter(string_split(m.text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*>[> \t]*')), chr(10)), '^\s+|\s+$', '', 'g') AS content,
        coalesce(per.n_quoted, 0) AS n_quoted, coalesce(per.max_level, 0) AS max_level, coalesce(p.n_linked, 0) AS n_linked,
        coalesce(p.reply_to, t.before, -1) AS reply_to, coalesce(c.root, m.turn) AS thread, CAST(coalesce(c.depth, 0) AS BIGINT) AS depth
 FROM m

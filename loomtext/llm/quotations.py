@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_MARK = r"^[ \t]*(?:>[ \t]*)+"
+#: One character class after the first mark: no repeated group, on which long runs would recurse.
+_MARK = r"^[ \t]*>[> \t]*"
 #: Turns are ranked within stretches of so many, so that a long conversation is no single group.
 STRETCH = 64
 
@@ -35,7 +36,7 @@ def _hash(line: Column) -> Column:
 
 def own_text(text: Column) -> Column:
     """The text without its quoted lines, trimmed."""
-    return F.regexp_replace(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(_MARK)), "\n"), r"^\s+|\s+$", "")
+    return F.btrim(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(_MARK)), "\n"), F.lit(" \t\n\x0b\f\r"))
 
 
 def links(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
