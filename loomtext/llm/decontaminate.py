@@ -7,9 +7,10 @@ benchmark item, or a shorter item whole. Three passes over the texts:
 2. postings (word, document, positions) of the probe words: the one or two rarest of each window;
 3. the texts of the few documents that hold a candidate, for the exact answer.
 
-Between the last two, postings are joined with the items' positions on the word, and the lists, adjusted by the offset
-in the item, are intersected: a window is a candidate on a diagonal (document position minus item position) where all of
-its probes meet. The third pass compares the words along these diagonals, so every match is exact.
+Between the last two, postings are joined with the items' probes on the word, and a document's lists, adjusted by the
+probes' offsets in the item, are intersected: an item is a candidate of a document where all probes of one of its windows
+meet. Lists stay lists, however often a word repeats. The third pass looks a document's windows up among those of its
+candidates and compares the words, so every match is exact.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from .tokens import ragged
 
 WINDOW = 13
 #: Benchmark words that are sent to every task; a larger benchmark is joined instead.
@@ -49,7 +51,7 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, words) of the items that have words; equal items stay apart."""
     slim = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_word_lists, "item string, words array<string>").filter("size(words) > 0")
+    return slim.mapInArrow(C.lean(_word_lists), "item string, words array<string>").filter("size(words) > 0")
 
 
 def _frequency(sent):
@@ -70,7 +72,7 @@ def _frequency(sent):
         if wanted is not None:
             some = np.flatnonzero(sums)
             yield pa.record_batch({"word": wanted.take(pa.array(some)), "n": pa.array(sums[some])})
-    return run
+    return C.lean(run)
 
 
 def _postings(sent):
@@ -98,7 +100,7 @@ def _postings(sent):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(keep)).astype(np.int32)), pa.array((keep - begin[doc]).astype(np.int32)))
                 of = pa.array(doc[first])
                 yield pa.record_batch({"word": names.take(pa.array(code[keep][first])), "doc_id": part["doc_id"].take(of), "key": part["key"].take(of), "n_words": pa.nulls(len(first), pa.int64()), "positions": lists})
-    return run
+    return C.lean(run)
 
 
 _POSTING = "word string, doc_id long, key long, n_words long, positions array<int>"
@@ -164,7 +166,41 @@ def _possible(rows: DataFrame, cands: DataFrame) -> DataFrame:
             at = b["key"].to_numpy() % FILTER_BITS
             yield b.filter(pa.array((sent.value[at // 64] >> (at % 64)) & 1 == 1))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(C.lean(run), rows.schema)
+
+
+def _windows(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` word hashes."""
+    n = max(0, len(words) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out += words[k : n + k] * (C.mixed(np.array([7919 * (k + 1)], np.uint64))[0] | np.uint64(1))
+    return C.mixed(out)
+
+
+def covered(own: np.ndarray, items: list[np.ndarray], window: int) -> tuple[int, list[int]]:
+    """Of a document's and the items' word hashes: the document's words inside occurring windows, and the items that have one."""
+    edge, found = np.zeros(len(own) + 1, np.int64), set()
+    sizes = np.array([min(window, len(x)) for x in items])
+    for size in np.unique(sizes):
+        some = np.flatnonzero(sizes == size)
+        want = np.concatenate([items[k] for k in some])
+        each = [_windows(items[k], size) for k in some]
+        count = np.array([len(x) for x in each])
+        first = np.cumsum([len(items[k]) for k in some]) - [len(items[k]) for k in some]
+        start = ragged(first, count)
+        kinds, sample, of = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        have = _windows(own, size)
+        kind = np.minimum(np.searchsorted(kinds, have), len(kinds) - 1)
+        at = np.flatnonzero(kinds[kind] == have)
+        for k in range(size):  # the words themselves decide
+            at = at[own[at + k] == want[start[sample[kind[at]]] + k]]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + size, -1)
+        met = np.zeros(len(kinds), bool)
+        met[kind[at]] = True
+        found.update(some[np.unique(np.repeat(np.arange(len(some)), count)[met[of]])].tolist())
+    return int((np.cumsum(edge)[:-1] > 0).sum()), sorted(found)
 
 
 def _exact(window: int):
@@ -175,27 +211,15 @@ def _exact(window: int):
                 flat, begin = words(part["text"])
                 have = C.word_hashes(flat)
                 n_hit, n_items, sha = [], [], []
-                for k, cands in enumerate(part["cands"].to_pylist()):
-                    own = have[begin[k] : begin[k + 1]]
-                    hit, found = np.zeros(len(own) + 1, np.int64), set()
-                    for c in cands:
-                        want = np.frombuffer(c["hashes"], np.uint64)
-                        size = min(window, len(want))
-                        lo_, hi_ = max(0, -c["diagonal"]), min(len(want), len(own) - c["diagonal"])
-                        if hi_ - lo_ < size:
-                            continue
-                        same = np.concatenate(([0], np.cumsum(own[lo_ + c["diagonal"] : hi_ + c["diagonal"]] == want[lo_:hi_])))
-                        at = np.flatnonzero(same[size:] - same[:-size] == size) + lo_ + c["diagonal"]
-                        if len(at):
-                            found.add(c["item"])
-                            np.add.at(hit, at, 1)
-                            np.add.at(hit, at + size, -1)
-                    names = sorted(x for x in found if x is not None)
-                    n_hit.append(int((np.cumsum(hit)[:-1] > 0).sum()))
+                for k, cands in enumerate(part["cands"]):
+                    cands = cands.as_py()
+                    hits, found = covered(have[begin[k] : begin[k + 1]], [np.frombuffer(c["hashes"], np.uint64) for c in cands], window)
+                    names = sorted({cands[i]["item"] for i in found} - {None})
+                    n_hit.append(hits)
                     n_items.append(len(names))
                     sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
                 yield pa.record_batch({"doc_id": part["doc_id"], "key": part["key"], "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array(sha)})
-    return run
+    return C.lean(run)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +228,15 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"item_no": b["item_no"], "item": b["item"], "words": b["words"], "hashes": pa.array([C.word_hashes(pa.array(x, pa.string())).tobytes() for x in lists], pa.binary())})
 
 
+def _aligned(need: Column) -> Column:
+    """Whether the lists of a window's probes, each less the probe's offset in the item, have a place in common."""
+    def places(probe: Column) -> Column:
+        return F.transform(F.element_at("lists", probe["word"]), lambda p: p - probe["at"])
+
+    both = F.arrays_overlap(places(need[0]), places(F.element_at(need, -1)))
+    return F.coalesce(F.when(F.size(need) == 1, F.element_at("lists", need[0]["word"]).isNotNull()).otherwise(both), F.lit(False))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: tuple[int, int] = (1, 20), sent_words: int = SENT_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated, for each row of ``docs``.
 
@@ -212,20 +245,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     n_hit / n_words >= ``share``. Null and empty texts have no words and no hits; repeated rows get equal results; an
     empty benchmark hits nothing. ``key`` is a hash of the text.
     """
+    C.bounded_batches(docs.sparkSession)
     listed = item_words(items, item_col, item_text_col).withColumn("item_no", F.xxhash64("item", F.array_join("words", " ")))
-    bench = C.written(listed.select("item_no", "item", "words").dropDuplicates(["item_no"]).mapInArrow(_hashed, "item_no long, item string, words array<string>, hashes binary"))
+    bench = C.written(listed.select("item_no", "item", "words").dropDuplicates(["item_no"]).mapInArrow(C.lean(_hashed), "item_no long, item string, words array<string>, hashes binary"))
     vocabulary = C.written(bench.select(F.explode("words").alias("word")).distinct())
     frequency = C.written(corpus_frequency(docs, vocabulary, sent_words, text_col).withColumnRenamed("n", "freq"))
     chosen = C.written(probes(bench, frequency, window))
     index = C.written(positional_index(docs, chosen.select("word").distinct(), sent_words, id_col, text_col))
-    posted = index.filter("word is not null").select("word", "doc_id", "key", F.explode("positions").alias("position"))
-    met = posted.join(chosen.select("item_no", "at", "word").distinct(), "word").select("doc_id", "key", "item_no", (F.col("position") - F.col("at")).alias("diagonal"), "at")
-    lists = met.groupBy("doc_id", "key", "item_no", "diagonal").agg(F.collect_set("at").alias("ats"))
-    needs = C.written(chosen.groupBy("item_no", "start").agg(F.sort_array(F.collect_set("at")).alias("need")).groupBy("item_no").agg(F.collect_set("need").alias("needs")))
-    # some window of the item has all its probes on this diagonal
-    meets = F.exists("needs", lambda need: F.size(F.array_except(need, F.col("ats"))) == 0)
-    aligned = lists.join(needs, "item_no").filter(meets).select("doc_id", "key", "item_no", "diagonal")
-    cands = aligned.join(bench.select("item_no", "item", "hashes"), "item_no").groupBy("doc_id", "key").agg(F.collect_list(F.struct("item", "hashes", "diagonal")).alias("cands"))
+    posted = index.filter("word is not null").select("word", "doc_id", "key", "positions")
+    met = posted.join(chosen.select("item_no", "word").distinct(), "word")
+    # a document's lists of an item's probes, each list once; equal rows of a document give equal lists
+    lists = met.groupBy("doc_id", "key", "item_no").agg(F.map_from_entries(F.collect_set(F.struct("word", "positions"))).alias("lists"))
+    need = chosen.groupBy("item_no", "start").agg(F.sort_array(F.collect_set(F.struct("at", "word"))).alias("need"))
+    needs = C.written(need.groupBy("item_no").agg(F.collect_set("need").alias("needs")))
+    aligned = lists.join(needs, "item_no").filter(F.exists("needs", _aligned)).select("doc_id", "key", "item_no")
+    cands = aligned.join(bench.select("item_no", "item", "hashes"), "item_no").groupBy("doc_id", "key").agg(F.collect_list(F.struct("item", "hashes")).alias("cands"))
     cands = C.written(cands)
     found = C.null_safe(_possible(_slim(docs, id_col, text_col), cands), cands, ["doc_id", "key"], "inner").select("doc_id", "key", "text", "cands")
     found = found.mapInArrow(_exact(window), "doc_id long, key long, n_hit long, n_items long, items_sha256 string").dropDuplicates(["doc_id", "key"])
