@@ -31,7 +31,8 @@ def op1_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at three-word shingles and a similarity of 0.85."""
-    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+    out = near_duplicates(_read(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _vocabulary(name: str = "word_bpe_49k.json") -> str:
