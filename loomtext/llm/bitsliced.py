@@ -26,6 +26,8 @@ from .token_files import _put, mapped
 
 ROWS = 1 << 16
 PACK = 32
+#: Of a quantised component; products and their sums over 2 million attributes stay below 2^63.
+LARGEST = 1 << 21
 
 
 def quantised(vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +37,10 @@ def quantised(vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
     dim = max([len(v) for v, g in zip(lists, good, strict=True) if g], default=0)
     out = np.zeros((int(good.sum()), dim), np.int64)
     for k, v in enumerate(v for v, g in zip(lists, good, strict=True) if g):
-        out[k, : len(v)] = np.floor(scale * np.asarray(v, np.float64))
+        x = np.floor(scale * np.asarray(v, np.float64))
+        if len(x) and np.abs(x).max() > LARGEST:
+            raise ValueError(f"a component of {x[np.abs(x).argmax()] / scale:g} is too large for 64-bit scores")
+        out[k, : len(v)] = x
     return out, good
 
 
@@ -191,7 +196,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     integer inner product of components floor(scale * x); ties to the smaller id; fewer if there are fewer.
 
     Rows whose id or vector is null, or whose vector holds null or non-finite components, take no part. A shorter
-    vector counts as padded with zeros. Rows that repeat an id are candidates each; a repeated query id is
+    vector counts as padded with zeros. A component beyond ``LARGEST`` / ``scale`` is an error. Rows that repeat an id are candidates each; a repeated query id is
     answered once, for its smallest vector.
     """
     spark = vectors.sparkSession
@@ -204,10 +209,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     folder = f"{C.shared_folder(spark)}/slices/{uuid.uuid4().hex}"
     index = C.written(slim.mapInArrow(_build(folder, scale, low, bits), "block string, n_rows long, dims long"))
     packs = C.written(asked.mapInArrow(_packs(scale), "pack long, ids binary, weights binary"))
-    # one row for ROWS vectors: a short list
-    blocks = F.array(*[F.struct(F.lit(r["block"]).alias("block"), F.lit(r["dims"]).alias("dims")) for r in index.collect()] or [F.lit(None).cast("struct<block:string,dims:bigint>")])
-    tasks = packs.withColumn("b", F.explode(blocks)).filter("b is not null").select("pack", "ids", "weights", "b.block", "b.dims")
-    spread = tasks.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), "pack", "block")
+    # every pack goes to every shard of blocks, a block being a row for ROWS vectors
+    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = index.select("block", "dims", F.pmod(F.xxhash64("block"), F.lit(shards)).alias("shard"))
+    asked_of = packs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(blocks.select("shard").distinct(), "shard", "left_semi")
+    spread = asked_of.join(blocks, "shard").drop("shard").repartition(shards, "pack", "block")
     found = C.written(spread.mapInArrow(_search(folder, low, bits, k), "query_id long, vec_id long, score long"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

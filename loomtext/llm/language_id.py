@@ -21,7 +21,8 @@ ORDERS = (2, 3)
 UNKNOWN = "und"
 #: Of the broadcast matrix; more languages than fit are an error.
 MODEL_MB = 128
-#: Text scored or counted at a time: an n-gram takes some 60 bytes meanwhile.
+#: Text scored or counted at a time, in bytes; an n-gram takes some 60 bytes meanwhile. A longer text is taken in stretches
+#: of as many characters.
 STEP_BYTES = 1 << 20
 
 
@@ -67,12 +68,27 @@ def grams(texts: pa.Array, buckets: int, orders: tuple[int, ...] = ORDERS) -> tu
     return out, begin, np.diff(letters[starts])
 
 
+def stretches(text: str, buckets: int, size: int) -> Iterator[tuple[list[np.ndarray], int]]:
+    """``grams`` and number of letters of a long text, stretch by stretch; each place of the text is in one of them."""
+    for at in range(0, len(text), size):
+        end = min(at + size, len(text))
+        # a stretch sees the characters that its last n-grams reach into; only the first begins with a blank
+        found, _, letters = grams(pa.array([text[at : end + max(ORDERS) - 1]]), buckets)
+        beyond = sum(x.isalpha() and ord(x) < 1 << 16 for x in text[end : end + max(ORDERS) - 1])
+        yield [g[at > 0 : end - at + 1] for g in found], int(letters[0]) - beyond
+
+
 def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lo, hi in C.steps(b["text"], STEP_BYTES):
                 text, lang = b["text"].slice(lo, hi - lo), b["lang"].slice(lo, hi - lo).to_pylist()
+                if len(text) == 1 and len(text[0].as_py()) > STEP_BYTES:
+                    for found, _ in stretches(text[0].as_py(), buckets, STEP_BYTES):
+                        for g in found:
+                            sums[lang[0]] = sums.get(lang[0], 0) + np.bincount(g, minlength=buckets)
+                    continue
                 found, begin, _ = grams(text, buckets)
                 names = sorted(set(lang))
                 of = np.repeat(np.array([names.index(x) for x in lang]), np.diff(begin))
@@ -83,11 +99,12 @@ def _count(buckets: int):
         for name, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.record_batch({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at].astype(np.int64))})
-    return run
+    return C.lean(run)
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and the (buckets, languages) log-probabilities; rows without a language or text are left out."""
+    C.bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     sums = C.written(slim.mapInArrow(_count(buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in sums.select("lang").distinct().limit(MODEL_MB * (1 << 18) // buckets + 1).collect())
@@ -105,6 +122,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     A null text or one without a letter is ``und`` with score 0, as is everything if nothing was learned. Equal
     scores go to the first language by name.
     """
+    C.bounded_batches(docs.sparkSession)
     langs, matrix = model
     sent, buckets = docs.sparkSession.sparkContext.broadcast(matrix), len(matrix)
     at = keep.index(text_col) if text_col in keep else len(keep)
@@ -115,10 +133,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
             for lo, hi in C.steps(b.column(at), STEP_BYTES):
                 part = b.slice(lo, hi - lo)
                 text = part.column(at)
-                found, begin, letters = grams(text, buckets)
                 pred, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
                 if langs:
-                    total = sum(np.add.reduceat(sent.value[g], begin[:-1], axis=0, dtype=np.float64) for g in found)
+                    if len(part) == 1 and len(text[0].as_py() or "") > STEP_BYTES:
+                        got = [(sum(sent.value[g].sum(0, dtype=np.float64) for g in found), n) for found, n in stretches(text[0].as_py(), buckets, STEP_BYTES)]
+                        total, letters = sum(x for x, _ in got)[None, :], np.array([sum(n for _, n in got)])
+                    else:
+                        found, begin, letters = grams(text, buckets)
+                        total = sum(np.add.reduceat(sent.value[g], begin[:-1], axis=0, dtype=np.float64) for g in found)
                     total = np.exp(total - total.max(1, keepdims=True))
                     known = letters > 0
                     for k in np.flatnonzero(~known):  # letters beyond the first 65,536 code points
@@ -128,7 +150,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(pred.tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[: len(keep)])
-    return slim.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    return slim.mapInArrow(C.lean(run), f"{kept}, lang_pred string, score double")
 
 
 def held_out(id_col: Column, part: int = 2, of: int = 4) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def features(texts: pa.Array) -> np.ndarray:
     size, n_words = np.diff(off), np.diff(begin)
     lines = sums(raw == 10) + 1
     own = np.array([len(np.unique(h[a:z])) for a, z in zip(begin[:-1], begin[1:], strict=True)])
-    text_lines = [len(set((t or "").split("\n"))) for t in texts.to_pylist()]
+    text_lines = [len(set(t.split("\n"))) for t in pc.fill_null(texts, "").to_numpy(zero_copy_only=False)]
     per = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
     return np.stack([
         np.log1p(size), np.log1p(n_words), per(sums(_PUNCT[raw]), size), per(sums((raw >= 48) & (raw <= 57)), size),
@@ -105,12 +106,13 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Labels that are null or neither 0 nor 1, or whose id is null, don't count; of several labels of one id the largest
     counts. Without labels every probability is a half.
     """
+    C.bounded_batches(docs.sparkSession)
     rated = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     text = F.col(text_col).cast("string")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), text.alias("text"))
     # at most ``sample`` rows of two numbers: a proven bound
     some = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    got = slim.join(some, "doc_id").select("doc_id", "y", "text").mapInArrow(_with_features, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample).toPandas()
+    got = slim.join(some, "doc_id").select("doc_id", "y", "text").mapInArrow(C.lean(_with_features), "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(sample).toPandas()
     model = fit(np.array(got["x"].tolist()).reshape(-1, FEATURES), got["y"].to_numpy(float))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.clip(logit, -30, 30))], [*part.schema.names[:-1], "evidence"])
 
     hosts, paths, rate = site_posteriors(slim.select("doc_id", "host", "path").join(rated, "doc_id"))
-    out = slim.mapInArrow(judge, "doc_id long, host string, path string, evidence double")
+    out = slim.mapInArrow(C.lean(judge), "doc_id long, host string, path string, evidence double")
     out = C.null_safe(out, paths, ["host", "path"], "left")
     out = C.null_safe(out, hosts, ["host"], "left")
     p_host = F.coalesce("p_host", F.lit(rate))

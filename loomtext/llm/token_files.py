@@ -104,6 +104,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     An empty table gives parts without documents, or none. The default folder is a new one in ``spark.checkpoint.dir``.
     """
     spark = docs.sparkSession
+    C.bounded_batches(spark)
     folder = folder or f"{C.shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
     kind = "<u2" if max(_size(tokenizer), end_id + 1) <= 1 << 16 else "<u4"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
