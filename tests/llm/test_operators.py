@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from loomtext.llm import near_dedup, secret_scan
+from loomtext.llm import language_id, near_dedup, secret_scan
 from loomtext.llm.bitsliced import top_k
 from loomtext.llm.decontaminate import contamination, positional_index, proximity
 from loomtext.llm.language_id import identify
@@ -74,6 +76,14 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(docs(spark, texts).filter("false")).count() == 0
 
 
+def test_one_id_with_two_texts_is_in_two_components(spark):
+    rng = random.Random(22)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (9, c), (5, c), (4, edited(rng, b, 1))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(d).collect())
+    assert got == [(1, 1, True), (4, 4, True), (5, 1, False), (5, 4, False), (5, 5, True), (7, 4, False), (9, 5, False)]
+
+
 def test_joining_large_universe_equals_matrix():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, 300).astype(np.uint64)) for _ in range(30)]
@@ -134,6 +144,14 @@ def test_contamination(spark):
     assert not contamination(d, bench.filter("false")).filter("n_hit > 0 or contaminated").count()
 
 
+def test_contamination_of_repetitive_texts(spark):
+    item, other = "the " * 2000, "a b " * 300 + "c"
+    texts = ["the " * 20_000, "a b " * 5000, "x " + "a b " * 6 + "c", "the " * 12, "the a " * 3000, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in contamination(d, spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")).collect()}
+    assert got == {0: (20_000, 20_000, 1), 1: (10_000, 10_000, 1), 2: (14, 13, 1), 3: (12, 0, 0), 4: (6000, 0, 0), 5: (0, 0, 0)}
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a x b a y y y b"), (2, "b"), (None, "a b")], "doc_id long, text string")
     pairs = spark.createDataFrame([("a", "b"), ("a", "a")], "first string, second string")
@@ -159,6 +177,7 @@ def test_secret_scan(spark):
         assert r.base == want
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(len(re.findall(k + ":", want)) for k in ("assign", "access", "hex"))
         assert set(want.split(",")) - {""} <= set(r.spans.split(","))
+    assert secret_scan.scan(docs(spark, texts[:3]).filter("false")).count() == 0
 
 
 def test_ownership_tells_examples_from_live(spark):
@@ -193,6 +212,8 @@ def test_top_k(spark):
     for q, w in asked.items():
         want = sorted((-sum(a * b for a, b in zip(w, v, strict=False)), k) for k, v in good if k != q)[:20]
         assert [(s, k) for _, k, s in sorted(got[q])] == [(-s, k) for s, k in want]
+    with pytest.raises(Exception, match="too large"):
+        top_k(spark.createDataFrame([(1, [1e12]), (20, [1.0])], "vec_id long, embedding array<double>"), d.filter("vec_id = 20").select("vec_id", "embedding")).count()
     few = d.filter("vec_id < 3")
     assert top_k(few, few.filter("vec_id = 0")).count() == 2 and top_k(few.filter("false"), few).count() == 0
 
@@ -210,6 +231,112 @@ def test_language(spark):
     assert {r.lang_pred for r in identify(d.withColumn("lang", d["lang"].substr(9, 1)).filter("lang is null"), ["doc_id"]).collect()} == {"und"}
 
 
+def bayes_brute(rows, buckets=language_id.BUCKETS, smoothing=0.5):
+    """Naive Bayes in plain Python over the hashes of character 2- and 3-grams; equal priors."""
+    def places(text):
+        out, low = [], " " + "".join(c.lower()[0] if c.isalpha() else " " for c in text) + "  "
+        for order in (2, 3):
+            for i in range(len(text) + 1):
+                h = 2166136261 + order
+                for c in low[i : i + order]:
+                    h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.append(h % buckets)
+        return out
+
+    counts = {}
+    for k, t, g in rows:
+        if k is not None and t is not None and g is not None and zlib.crc32(str(k).encode()) % 4 != 2:
+            for b in places(t):
+                counts.setdefault(g, {}).setdefault(b, 0)
+                counts[g][b] += 1
+    total = {g: sum(c.values()) + smoothing * buckets for g, c in counts.items()}
+    out = {}
+    for k, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            out[k] = ("und", 0.0)
+            continue
+        logs = {g: sum(math.log((counts[g].get(b, 0) + smoothing) / total[g]) for b in places(t)) for g in counts}
+        best = max(sorted(logs), key=logs.get)
+        out[k] = (best, 1 / sum(math.exp(x - logs[best]) for x in logs.values()))
+    return out
+
+
+def test_language_equals_plain_bayes(spark):
+    rng = random.Random(23)
+    say = {"aa": "abcdeé", "bb": "cdefgß", "cc": "абвгде"}
+    rows = [(k, "".join(rng.choice(say[g] + " 1,A") for _ in range(rng.randint(1, 30))), g) for k in range(150) for g in [rng.choice(sorted(say))]]
+    rows += [(200, None, "aa"), (201, " 12", "bb"), (202, "", None), (203, "abc", None), (204, "ab " * 3000, "aa"), (205, "Éß xyz", None)]
+    rows += [rows[0], rows[3]]  # repeated rows count again
+    want = bayes_brute(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = identify(d, ["doc_id"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-4, r.doc_id
+    assert identify(d.filter("false"), ["doc_id"]).count() == 0
+
+
+def test_stretches_of_a_long_text_hold_its_places_once():
+    rng = random.Random(24)
+    for n in (1, 2, 5, 6, 7, 12, 50):
+        text = "".join(rng.choice("abcé 1") for _ in range(n))
+        whole, _, letters = language_id.grams(pa.array([text]), 997)
+        for size in (1, 2, 3, 6):
+            got = list(language_id.stretches(text, 997, size))
+            assert [np.concatenate(x).tolist() for x in zip(*(g for g, _ in got), strict=True)] == [w.tolist() for w in whole]
+            assert sum(k for _, k in got) == letters[0]
+
+
+def posteriors_brute(docs, labels):
+    """Rates of hosts and paths, shrunk by hand."""
+    y = {}
+    for k, v in labels:
+        if k is not None and v in (0, 1):
+            y[k] = max(v, y.get(k, 0))
+    sites = defaultdict(list)
+    for k, _, host, path in docs:
+        if k in y:
+            sites[host, path].append(y[k])
+    hosts = defaultdict(list)
+    for (host, _), v in sites.items():
+        hosts[host] += v
+
+    def strength(groups):  # (mean, values)
+        groups = [(min(max(m, 1e-6), 1 - 1e-6), v) for m, v in groups]
+        n, total = len(groups), sum(len(v) for _, v in groups)
+        chi = sum(len(v) * (sum(v) / len(v) - m) ** 2 / (m * (1 - m)) for m, v in groups)
+        spread = total - sum(len(v) ** 2 for _, v in groups) / total - (n - 1)
+        rho = min(max((chi - (n - 1)) / spread if spread > 0 else 0.0, 1e-4), 0.5)
+        return (1 - rho) / rho
+
+    every = [v for x in hosts.values() for v in x]
+    rate = (sum(every) + 1) / (len(every) + 2)
+    k1 = strength([(rate, v) for v in hosts.values()])
+    p_host = {h: (sum(v) + k1 * rate) / (len(v) + k1) for h, v in hosts.items()}
+    k2 = strength([(p_host[h], v) for (h, _), v in sites.items()])
+    p_path = {s: (sum(v) + k2 * p_host[s[0]]) / (len(v) + k2) for s, v in sites.items()}
+    return [(p_host.get(h, rate), p_path.get((h, p), p_host.get(h, rate))) for _, _, h, p in docs]
+
+
+def test_quality_posteriors_equal_plain_shrinkage(spark):
+    rng = random.Random(25)
+    docs_ = [(k, prose(rng, rng.randint(0, 9)), rng.choice(["s1", "s2", "s3", None]), rng.choice(["en", "de", None])) for k in range(400)]
+    docs_ += [(500, None, "s9", "en"), (501, "", None, "xx"), (502, "w " * 60_000, "s1", "en"), docs_[0], docs_[1]]
+    labels = [(k, int(rng.random() < (0.9 if docs_[k][2] == "s1" else 0.3 if docs_[k][3] == "de" else 0.6))) for k in range(0, 400, 2)] + [(None, 1), (7, None), (9, 3), (2, 1), (2, 0)]
+    d = spark.createDataFrame(docs_, "doc_id long, text string, source string, lang string").selectExpr("*", "1 as host", "2 as path", "3 as y", "4 as p_host", "5 as evidence")
+    rows = quality(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    want = defaultdict(list)
+    for x, p in zip(docs_, posteriors_brute(docs_, labels), strict=True):
+        want[x[0]].append(p)
+    assert len(rows) == len(docs_)
+    for r in rows:
+        host, path = want[r.doc_id][0]
+        assert abs(r.p_host - host) < 1e-9 and abs(r.p_path - path) < 1e-9
+        assert abs(r.p_quality - 1 / (1 + math.exp(-(math.log(path / (1 - path)) + r.evidence)))) < 1e-9 and r.keep == (r.p_quality >= 0.5)
+    assert quality(d.filter("false"), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, labels = [], []
@@ -229,6 +356,15 @@ def test_quality(spark):
     assert {r.p_quality for r in quality(d, y.filter("false")).collect()} == {0.5}
 
 
+def test_quotations_of_very_long_lines(spark):
+    rows = [(1, 0, "u", "Hello\n" + "a" * 50_000), (1, 1, "a", ">" * 100_000 + " Hello\nyes"), (1, 2, "u", "> " * 50_000 + "\n>" + "a" * 50_000), (1, 3, "a", "x" + " " * 60_000 + "y\n" + " " * 60_000)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = {r.turn: r for r in conversations(d).collect()}
+    assert (by[1].max_level, by[1].reply_to, by[1].content, by[1].n_linked) == (100_000, 0, "yes", 1)
+    assert (by[2].max_level, by[2].n_quoted, by[2].reply_to, by[2].n_linked) == (50_000, 2, 0, 1)
+    assert by[3].content == "x" + " " * 60_000 + "y" and by[3].reply_to == 2
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow does it work?"), (1, 1, "a", "> How does  it WORK?\nLike this.\nSee?"), (1, 2, "u", "Another matter."),

@@ -60,3 +60,18 @@ def test_a_value_that_its_only_owner_repeats_is_redacted(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, docs, "").collect()}
     assert got == {k: t.replace(own, "[SECRET]") for k, t, _ in rows}
+
+
+def test_an_id_with_two_texts_is_two_documents(spark):
+    rng = random.Random(21)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, c), (8, edited(rng, c, 1)), (9, d), (9, None), (9, None), (9, ""), (None, d), (None, d), (2, "x " * 40_000), (3, "x " * 40_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as copies", "3 as __rows", "'' as component_id")
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    one_of_8 = [x for x in kept if x[0] == 8]
+    assert len(one_of_8) == 1 and one_of_8[0] in rows
+    want = [(1, a), (5, b), (9, d), (9, None), (9, ""), (None, d), (None, d), (2, "x " * 40_000)]
+    assert sorted(kept, key=str) == sorted([*want, *one_of_8], key=str)
+    assert corpus_pipeline.near_copies(spark, docs.filter("false"), "").count() == 0
