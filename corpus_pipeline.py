@@ -22,12 +22,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (0.8 of the five-word shingles), and one row of each id."""
-    found = common.written(near_dedup.near_duplicates(docs))
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = common.written(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"))
-    return rest.join(again, "doc_id", "left_anti").select(docs.columns).union(rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    """Keeps one document of each group of near copies (0.8 of the five-word shingles): the smallest doc_id, then text key.
+
+    Documents are told apart by doc_id and text, so an id with two different texts is two documents, of which each stays
+    unless it is a copy of another. Of repeated rows one stays. Rows without an id, which nothing is linked with, all stay.
+    """
+    found = common.written(near_dedup.near_duplicates(docs).filter("doc_id is not null").groupBy("copies", "doc_id", "key").agg(F.count("*").alias("rows")))
+    first = found.filter("copies is not null").groupBy("copies").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = found.join(first, "copies").filter(F.struct("doc_id", "key") != F.col("first")).select("doc_id", "key")
+    again = found.filter("rows > 1").select("doc_id", "key")
+    marks = gone.withColumn("__gone", F.lit(True)).union(again.join(gone, ["doc_id", "key"], "left_anti").withColumn("__gone", F.lit(False)))
+    marks = common.written(marks.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__gone"))
+    same = (docs["doc_id"] == F.col("__id")) & (common.text_key(docs["text"].cast("string")) == F.col("__key"))
+    once = docs.join(marks, same, "left_anti").select(docs.columns)
+    repeated = docs.join(marks.filter("not __gone"), same).dropDuplicates(["__id", "__key"]).select(docs.columns)
+    return once.union(repeated)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
