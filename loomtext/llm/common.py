@@ -50,6 +50,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are sent to every task rather than met in a shuffle, at most.
+SENT_ROWS = 400_000
+
+
+def sent_if_small(marks: DataFrame) -> DataFrame:
+    """A written table of ids and flags, marked for broadcast if it has at most ``SENT_ROWS`` rows (some 40 MB).
+
+    Joined to texts, it then saves the shuffle of all texts; a larger one is joined in the shuffle.
+    """
+    return F.broadcast(marks) if marks.limit(SENT_ROWS + 1).count() <= SENT_ROWS else marks
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for the small tables of iterative steps."""
     shared_folder(df.sparkSession)
