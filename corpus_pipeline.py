@@ -28,14 +28,16 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     unless it is a copy of another. Of repeated rows one stays. Rows without an id, which nothing is linked with, all stay.
     """
     found = common.written(near_dedup.near_duplicates(docs).filter("doc_id is not null").groupBy("copies", "doc_id", "key").agg(F.count("*").alias("rows")))
-    first = found.filter("copies is not null").groupBy("copies").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    gone = found.join(first, "copies").filter(F.struct("doc_id", "key") != F.col("first")).select("doc_id", "key")
+    first = found.filter("copies is not null").groupBy("copies").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    # by document, not by group: a document is in one group, and a group may be large
+    gone = found.filter("copies is not null").join(first, ["doc_id", "key"], "left_anti").select("doc_id", "key")
     again = found.filter("rows > 1").select("doc_id", "key")
     marks = gone.withColumn("__gone", F.lit(True)).union(again.join(gone, ["doc_id", "key"], "left_anti").withColumn("__gone", F.lit(False)))
     marks = common.written(marks.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__gone"))
+    marks = common.sent_if_small(marks)
     same = (docs["doc_id"] == F.col("__id")) & (common.text_key(docs["text"].cast("string")) == F.col("__key"))
     once = docs.join(marks, same, "left_anti").select(docs.columns)
-    repeated = docs.join(marks.filter("not __gone"), same).dropDuplicates(["__id", "__key"]).select(docs.columns)
+    repeated = docs.join(common.sent_if_small(marks.filter("not __gone")), same).dropDuplicates(["__id", "__key"]).select(docs.columns)
     return once.union(repeated)
 
 
@@ -44,6 +46,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = common.written(found.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct())
     own = common.text_key(docs["text"].cast("string"))
+    bad = common.sent_if_small(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (own == bad["__key"]), "left_anti").select(docs.columns)
 
 
