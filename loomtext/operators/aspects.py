@@ -92,24 +92,28 @@ def with_years(docs: DataFrame, text: str, out: str = "years") -> DataFrame:
 VOCABULARY_TOKEN = r"\.?[\p{L}\p{N}_](?:[\p{L}\p{N}_+#]|[.\-/&](?=[\p{L}\p{N}_]))*"
 
 
-def vocabulary_hits(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, match: str = "tokens", longest: int = 4) -> DataFrame:
+def vocabulary_hits(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, match: str = "tokens") -> DataFrame:
     """(key, aspect, term, value, pos): terms of ``vocabulary`` (aspect, term) in each text, one row a term.
 
     ``tokens``: whole words, value as first written; ``substring``: anywhere in the text, value as in the vocabulary.
+    In tokens mode terms of any length count, in the token form of texts: marks between words don't matter.
     """
     vocab = vocabulary.select("aspect", F.col("term").alias("_term"), F.lower("term").alias("term"))
     if match == "substring":
         hits = docs.join(vocab, F.lower(F.col(text)).contains(F.col("term")))
         return hits.groupBy(key, "aspect", "term").agg(F.min("_term").alias("value"), F.min(F.instr(F.lower(F.col(text)), F.col("term"))).alias("pos"))
+    forms = vocab.withColumn("_t", F.regexp_extract_all("term", F.lit(VOCABULARY_TOKEN), F.lit(0))).filter(F.size("_t") > 0)
+    forms = forms.select("aspect", "term", F.array_join("_t", " ").alias("_form"), F.size("_t").alias("_n")).distinct()
+    lengths = sorted(r[0] for r in forms.select("_n").distinct().collect())  # as many as words of the longest term
     tokens = docs.select(key, F.regexp_extract_all(F.col(text), F.lit(VOCABULARY_TOKEN), F.lit(0)).alias("t"))
 
     def spans(n: int) -> Column:
         return F.transform(T.ngrams(F.col("t"), n), lambda g, i: F.struct(i.alias("pos"), g.alias("span")))
 
-    found = tokens.select(key, F.explode(F.concat(*[spans(n) for n in range(1, longest + 1)])).alias("g")).select(key, "g.pos", "g.span", F.lower("g.span").alias("term"))
-    # term by document first, so the join meets each once
-    once = found.groupBy(key, "term").agg(F.min_by("span", "pos").alias("value"), F.min("pos").alias("pos"))
-    return once.join(vocab.drop("_term").distinct(), "term").select(key, "aspect", "term", "value", "pos")
+    found = tokens.select(key, F.explode(F.concat(*[spans(n) for n in lengths or [1]])).alias("g")).select(key, "g.pos", "g.span", F.lower("g.span").alias("_form"))
+    # only spans that are terms are shuffled, term by document first, so the join meets each once
+    once = found.join(forms.select("_form").distinct(), "_form", "left_semi").groupBy(key, "_form").agg(F.min_by("span", "pos").alias("value"), F.min("pos").alias("pos"))
+    return once.join(forms, "_form").select(key, "aspect", "term", "value", "pos")
 
 
 def extract(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None, match: str = "tokens") -> DataFrame:

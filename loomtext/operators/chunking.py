@@ -160,6 +160,17 @@ def assembled(rows: DataFrame, key: str, order: str, text: str, between: str = "
     return rows.groupBy(key).agg(parts.alias("x")).select(key, F.array_join(F.transform("x", lambda r: r["t"]), between).alias("full_text"))
 
 
+def preview(rows: DataFrame, key: str, order: str, text: str, size: int = 500, between: str = " ") -> DataFrame:
+    """(key, preview): the first ``size`` characters of the chunks' texts in order, put together.
+
+    Each text adds a separator at least, and no more of it than ``size`` characters can show, so the first ``size`` + 1
+    texts and characters decide and no task holds all texts of a key.
+    """
+    some = rows.filter(F.col(text).isNotNull()).select(key, order, F.left(text, F.lit(size)).alias("_text"))
+    whole = assembled(some, key, order, "_text", between, size + 1)
+    return whole.select(key, F.left("full_text", F.lit(size)).alias("preview"))
+
+
 def section_chunks(rows: DataFrame, key: str, section: str | None, limit: int = 10) -> DataFrame:
     """Up to ``limit`` chunks of each job, of one section if it is named, with 300 characters each; chunks without a section are no error."""
     kept = rows if section is None else rows.filter(F.lower(F.coalesce("section", F.lit(""))) == section.lower())

@@ -1,6 +1,6 @@
 """N-gram statistics of a corpus: counts, (normalised) pointwise mutual information, effect size, G-test, filters.
 
-Counting adds up within each document first, so the shuffle by n-gram carries one row for each document and n-gram.
+Counting adds up within tasks, so the one shuffle, by n-gram, carries a row for each task and n-gram at most.
 """
 
 from __future__ import annotations
@@ -30,10 +30,24 @@ def document_ngrams(docs: DataFrame, key: str, text: str, n_min: int = 1, n_max:
 
 
 def corpus_ngrams(docs: DataFrame, key: str, text: str, n_min: int = 1, n_max: int = 3, min_frequency: int = 1) -> DataFrame:
-    """(ngram, ngram_length, frequency, document_frequency, total): total counts all n-grams of the length, rare ones too."""
-    per = document_ngrams(docs, key, text, n_min, n_max)
-    sums = per.groupBy("ngram", "ngram_length").agg(F.sum("tf").alias("frequency"), F.count("*").alias("document_frequency"))
-    totals = per.groupBy("ngram_length").agg(F.sum("tf").alias("total"))
+    """(ngram, ngram_length, frequency, document_frequency, total): total counts all n-grams of the length, rare ones too.
+
+    A document gives each occurrence once for the frequency and each distinct n-gram once for the document frequency,
+    so one shuffle, by n-gram, carries sums that tasks have added up; nothing is shuffled by document.
+    """
+    tokens = docs.select(T.words(T.ngram_form(F.col(text))).alias("t"))
+
+    def of_length(n: int) -> list[Column]:
+        every = T.ngrams(F.col("t"), n)
+        return [
+            F.transform(grams, lambda g: F.struct(g.alias("ngram"), F.lit(n).alias("ngram_length"), F.lit(f).cast("long").alias("f"), F.lit(1 - f).cast("long").alias("d")))
+            for grams, f in ((every, 1), (F.array_distinct(every), 0))
+        ]
+
+    rows = tokens.select(F.explode(F.concat(*[c for n in range(n_min, n_max + 1) for c in of_length(n)])).alias("g"))
+    sums = rows.groupBy("g.ngram", "g.ngram_length").agg(F.sum("g.f").alias("frequency"), F.sum("g.d").alias("document_frequency"))
+    sizes = tokens.agg(*[F.sum(F.greatest(F.lit(0), F.size("t") - (n - 1)).cast("long")).alias(f"n{n}") for n in range(n_min, n_max + 1)])
+    totals = sizes.select(F.inline(F.array(*[F.struct(F.lit(n).alias("ngram_length"), F.col(f"n{n}").alias("total")) for n in range(n_min, n_max + 1)])))
     return sums.filter(F.col("frequency") >= min_frequency).join(F.broadcast(totals), "ngram_length").select("ngram", "ngram_length", "frequency", "document_frequency", "total")
 
 
@@ -143,4 +157,8 @@ def whitelist(phrases: DataFrame, scores: DataFrame, npmi_range: tuple[float, fl
 
 
 def window_zscore(grams: DataFrame, value: str, group: str) -> DataFrame:
-    return grams.withColumn(f"{value}_z", zscore(F.col(value), Window.partitionBy(group)))
+    """The standard score of ``value`` within ``group``, by grouped moments: groups may be few and large. Null groups have none."""
+    moments = grams.groupBy(group).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    c = F.col(value)
+    z = F.when(F.col("_n") < 2, c).when(c.isNull(), F.lit(None)).when(F.col("_s") == 0, F.lit(0.0)).otherwise((c - F.col("_m")) / F.col("_s"))
+    return grams.join(moments, group, "left").withColumn(f"{value}_z", z).drop("_n", "_m", "_s")

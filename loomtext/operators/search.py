@@ -31,7 +31,7 @@ def document_lengths(chunks: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def term_statistics(posted: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(term, df, idf): log odds of the document frequency; negative ones become EPSILON times the mean over all terms."""
+    """(term, df, idf), from a row for each chunk and term: log odds of the document frequency; negative ones become EPSILON times the mean over all terms."""
     n = lengths.agg(F.count("*").alias("n"))
     raw = posted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
@@ -40,10 +40,15 @@ def term_statistics(posted: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def bm25(queries: DataFrame, chunks: DataFrame, key: str, text: str, query_id: str = "query_id", query_text: str = "query") -> DataFrame:
     """(query_id, key, bm25) of all chunks that hold a term of the query; repeated query terms add up."""
-    posted, lengths = postings(chunks, key, text), document_lengths(chunks, key, text)
+    tokens = chunks.select(key, T.search_tokens(F.col(text)).alias("_t"))
+    lengths = tokens.select(key, F.size("_t").cast("long").alias("dl"))
     asked = queries.select(query_id, F.explode(T.search_tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("qtf"))
     average = F.broadcast(lengths.agg(F.avg("dl").alias("avgdl")))
-    met = asked.join(term_statistics(posted, lengths), "term").join(posted, "term").join(lengths, key).crossJoin(average)
+    # document frequencies need each term of a chunk once, term frequencies the asked terms only: no posting is shuffled by chunk
+    stats = term_statistics(tokens.select(F.explode(F.array_distinct("_t")).alias("term")), lengths)
+    every = tokens.select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
+    posted = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    met = asked.join(stats, "term").join(posted, "term").crossJoin(average)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy(query_id, key).agg(F.sum(part).alias("bm25"))
 

@@ -68,10 +68,19 @@ def _cut_sql(before: str, now: str) -> str:
     return f"ltrim(substring({now}, 1 + list_max(list_filter(generate_series(0, least(250, len({before}), len({now}))), lambda n: starts_with({now}, right({before}, n)))), 300000))"
 
 
-@query("c12_overlap_removed", f"WITH p AS (SELECT doc_id, left(text, 300) AS a, CASE WHEN len(substring(text, 201, 400)) > 100 THEN substring(text, 201, 400) ELSE '' END AS b, CASE WHEN len(substring(text, 501, 400)) > 100 THEN substring(text, 501, 400) ELSE '' END AS c FROM documents) SELECT doc_id, array_to_string(list_filter([a, {_cut_sql('a', 'b')}, {_cut_sql('b', 'c')}], lambda p: p <> ''), chr(10) || chr(10)) AS full_text FROM p")
+_C12 = f"""WITH p AS (
+  SELECT doc_id, list_filter(list_transform(generate_series(1, greatest(1, len(text)), 300), lambda i: CASE WHEN i = 1 THEN left(text, 300) ELSE substring(text, i - 100, 400) END), lambda x, i: i = 1 OR len(x) > 100) AS p
+  FROM documents WHERE text IS NOT NULL
+), r AS (SELECT doc_id, i, p[i] AS now, p[i - 1] AS before FROM p, unnest(generate_series(1, len(p))) AS t(i)),
+c AS (SELECT doc_id, i, CASE WHEN i = 1 THEN now ELSE {_cut_sql('before', 'now')} END AS part FROM r)
+SELECT doc_id, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY i) FILTER (part <> ''), '') AS full_text FROM c GROUP BY doc_id"""
+
+
+@query("c12_overlap_removed", _C12)
 def c12(spark: SparkSession, d: str) -> DataFrame:
-    cut = F.posexplode(F.array(*[F.substring("text", max(1, 300 * k + 1 - 100 * (k > 0)), 300 + 100 * (k > 0)) for k in range(3)]))
-    rows = _docs(spark, d).select("doc_id", cut.alias("order", "text")).filter((F.col("order") == 0) | (F.length("text") > 100))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text")), F.lit(300))
+    windows = F.transform(at, lambda i: F.when(i == 1, F.left("text", F.lit(300))).otherwise(F.substring(F.col("text"), i - 100, F.lit(400))))
+    rows = _docs(spark, d).filter("text is not null").select("doc_id", F.posexplode(windows).alias("order", "text")).filter((F.col("order") == 0) | (F.length("text") > 100))
     return C.without_overlap(rows, "doc_id", "order", "text")
 
 
@@ -87,9 +96,10 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "n_chunks", F.size("sections").alias("n_sections"), F.md5("full_text").alias("text_md5"))
 
 
-@query("g9_assembled_texts", "SELECT source, string_agg(left(text, 100), ' ' ORDER BY doc_id) AS full_text FROM documents GROUP BY source")
+@query("g9_assembled_texts", "SELECT doc_id, replace(text, chr(10), ' ') AS full_text FROM documents WHERE text IS NOT NULL")
 def g9_t2(spark: SparkSession, d: str) -> DataFrame:
-    return C.assembled(_docs(spark, d).withColumn("text", F.left("text", F.lit(100))), "source", "doc_id", "text")
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("order", "line"))
+    return C.assembled(lines, "doc_id", "order", "line")
 
 
 @query("w5_labelling_texts", "SELECT source, left(string_agg(text, ' ' ORDER BY doc_id), 500) AS t FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY source")
@@ -103,13 +113,14 @@ def f12(spark: SparkSession, d: str) -> DataFrame:
     return C.section_chunks(rows, "source", "DE").select("source", F.col("order").alias("doc_id"), "text")
 
 
-VOCAB_SQL = f"vocab AS (SELECT ngram AS term FROM ({'WITH ' + grams_sql(1, 2) + ' SELECT ngram FROM grams WHERE frequency BETWEEN 40 AND 80 AND len(ngram) > 4'}))"
+VOCAB_SQL = f"vocab AS (SELECT ngram AS term FROM ({'WITH ' + grams_sql(1, 2) + ' SELECT ngram FROM grams WHERE frequency * 10000 >= total AND len(ngram) > 4'}))"
 
 
 def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The n-grams that are one in 10,000 or more of those of their length, at any size of the corpus."""
     from ..operators.ngrams import corpus_ngrams
 
-    grams = corpus_ngrams(_docs(spark, d), "doc_id", "text", 1, 2).filter("frequency between 40 and 80 and length(ngram) > 4")
+    grams = corpus_ngrams(_docs(spark, d), "doc_id", "text", 1, 2).filter("frequency * 10000 >= total and length(ngram) > 4")
     return grams.select(F.lit("skills").alias("aspect"), F.col("ngram").alias("term"))
 
 

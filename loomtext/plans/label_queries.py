@@ -31,12 +31,11 @@ def g15(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("sections"))
 
 
-@query("r12_job_summaries", "SELECT source, count(*) AS n_chunks, left(string_agg(left(text, 100), ' ' ORDER BY doc_id), 500) AS preview FROM documents GROUP BY source")
+@query("r12_job_summaries", "SELECT source, count(*) AS n_chunks, left(string_agg(text, ' ' ORDER BY doc_id), 500) AS preview FROM documents GROUP BY source")
 def r12(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.chunking import assembled
+    from ..operators.chunking import preview
 
-    whole = assembled(_docs(spark, d).withColumn("text", F.left("text", F.lit(100))), "source", "doc_id", "text")
-    return _docs(spark, d).groupBy("source").agg(F.count("*").alias("n_chunks")).join(whole, "source").select("source", "n_chunks", T.snippet(F.col("full_text"), 500).alias("preview"))
+    return _docs(spark, d).groupBy("source").agg(F.count("*").alias("n_chunks")).join(preview(_docs(spark, d), "source", "doc_id", "text"), "source", "left")
 
 
 @query("t1_page_of_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
@@ -51,10 +50,12 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("is_selected"), F.desc("o_totalprice"), "o_orderkey")).alias("place"))
 
 
-@query("j4_batch_fetch", "WITH ids AS (SELECT l_orderkey AS id, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem WHERE l_orderkey <= 2000) SELECT CAST(pos AS INTEGER) AS pos, o_orderkey, o_custkey FROM ids JOIN orders ON id = o_orderkey")
+@query("j4_batch_fetch", "WITH ids AS (SELECT l_orderkey AS id, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem) SELECT CAST(pos AS BIGINT) AS pos, o_orderkey, o_custkey FROM ids JOIN orders ON id = o_orderkey")
 def j4(spark: SparkSession, d: str) -> DataFrame:
-    pos = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber")) - 1
-    asked = table(spark, d, "lineitem").filter("l_orderkey <= 2000").select(F.col("l_orderkey").alias("o_orderkey"), pos.alias("pos"))
+    from ..operators.store import numbered
+
+    ids = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    asked = numbered(ids, ["o_orderkey", "l_linenumber"], "pos").drop("l_linenumber")
     return asked.join(table(spark, d, "orders"), "o_orderkey").select("pos", "o_orderkey", "o_custkey").orderBy("pos")
 
 
