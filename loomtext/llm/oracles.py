@@ -112,8 +112,8 @@ ORACLES["op10_secret_scan"] = (
     + _matches("bare", 4, secret_scan.BARE, 0, "regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[A-Za-z]')")
     + """), every AS (
   SELECT * FROM base UNION ALL SELECT * FROM bare b WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.doc_id = b.doc_id AND s.start < b.stop AND b.start < s.stop)
-), freq AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repos FROM every JOIN d USING (doc_id) GROUP BY value),
-rated AS (SELECT e.*, owners <= 1 AND repos <= 20 AS live FROM every e JOIN freq USING (value)),
+), freq AS (SELECT value, count(DISTINCT source) AS owners FROM every JOIN d USING (doc_id) GROUP BY value),
+rated AS (SELECT e.*, owners <= 1 AS live FROM every e JOIN freq USING (value)),
 per AS (
   SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (live OR kind <> 'bare') AS spans, count(*) FILTER (live) AS n_live,
          string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (kind <> 'bare') AS base,

@@ -26,8 +26,6 @@ BARE = r"[A-Za-z0-9+/_-]{16,}"
 KINDS = ("assign", "access", "hex", "bare")
 #: A value of at most so many owners looks live.
 LIVE_OWNERS = 1
-#: The limit on repositories in the SQL of op 10's query; no default of ``scan``.
-LIVE_REPOS = 20
 
 _SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 
