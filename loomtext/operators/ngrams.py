@@ -37,14 +37,17 @@ def corpus_ngrams(docs: DataFrame, key: str, text: str, n_min: int = 1, n_max: i
     """
     tokens = docs.select(T.words(T.ngram_form(F.col(text))).alias("t"))
 
+    # columns of their own, so that both uses read n-grams that are built once
+    built = tokens.select("t", *[T.ngrams(F.col("t"), n).alias(f"g{n}") for n in range(n_min, n_max + 1)])
+
     def of_length(n: int) -> list[Column]:
-        every = T.ngrams(F.col("t"), n)
+        every = F.col(f"g{n}")
         return [
             F.transform(grams, lambda g: F.struct(g.alias("ngram"), F.lit(n).alias("ngram_length"), F.lit(f).cast("long").alias("f"), F.lit(1 - f).cast("long").alias("d")))
             for grams, f in ((every, 1), (F.array_distinct(every), 0))
         ]
 
-    rows = tokens.select(F.explode(F.concat(*[c for n in range(n_min, n_max + 1) for c in of_length(n)])).alias("g"))
+    rows = built.select(F.explode(F.concat(*[c for n in range(n_min, n_max + 1) for c in of_length(n)])).alias("g"))
     sums = rows.groupBy("g.ngram", "g.ngram_length").agg(F.sum("g.f").alias("frequency"), F.sum("g.d").alias("document_frequency"))
     sizes = tokens.agg(*[F.sum(F.greatest(F.lit(0), F.size("t") - (n - 1)).cast("long")).alias(f"n{n}") for n in range(n_min, n_max + 1)])
     totals = sizes.select(F.inline(F.array(*[F.struct(F.lit(n).alias("ngram_length"), F.col(f"n{n}").alias("total")) for n in range(n_min, n_max + 1)])))
