@@ -2,11 +2,12 @@
 
 Where the reference calls single-machine libraries, these are re-aimed at what spreads over a cluster: an (uncentred)
 SVD for the projection, k-means with a silhouette choice or a grid-density clustering for the groups. Results are not
-the libraries' results. Only things of fixed size reach the driver: the Gram matrix, centroids, grid cells.
+the libraries' results. Only things of fixed size reach the driver: the Gram matrix, centroids, sums by level.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import numbered, written
+
 NOISE = -1
-GRID = 64
+#: How often a cell of the raster may be halved.
+LEVELS = 20
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -85,41 +89,62 @@ def auto_kmeans(rows: DataFrame, features: list[str], min_cluster_size: int = 10
     return best.transform(data).drop("_f")
 
 
-def grid_density(rows: DataFrame, x: str = "x", y: str = "y", min_cluster_size: int = 10, min_samples: int = 5, grid: int = GRID) -> DataFrame:
-    """``rows`` with cluster_id: groups of adjoining dense cells of a ``grid`` x ``grid`` raster, -1 for the rest.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, group): the least node that can be reached over ``edges`` (a, b), for each node of an edge but the least ones.
 
-    A cell is dense if it and its neighbours hold ``min_samples`` rows; groups of fewer than ``min_cluster_size`` rows
-    are noise. Rows are read twice; the cells, at most grid * grid, are joined up on the driver.
+    Large and small stars by turns, each written, until nothing changes; no group is gathered in one row.
+    """
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        own = large.groupBy("a").agg(F.min("b").alias("m"))
+        hops = large.join(own, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = written(hops.union(own).distinct())
+        if small.count() == edges.count() and small.subtract(edges).isEmpty():
+            return small.select(F.col("a").alias("node"), F.col("b").alias("group"))
+        edges = small
+
+
+def grid_density(rows: DataFrame, x: str = "x", y: str = "y", min_cluster_size: int = 10, min_samples: int = 5, share: float = 0.75) -> DataFrame:
+    """``rows`` with cluster_id: groups of adjoining dense cells of a raster that the data set, -1 for the rest.
+
+    The cells are the smallest (the 10 to 90 % range, halved up to LEVELS times) of which ``share`` of the rows lie in one
+    with ``min_samples`` rows: a bound on that quantile of the rows' neighbour distances, so cells shrink as rows grow
+    in number, and far rows don't stretch them. Such cells are dense; rows of other cells go with a dense one next to
+    theirs. Groups under ``min_cluster_size`` rows, and rows with a coordinate that is null or not finite, are noise.
+    Clusters are numbered from the largest. A row for each level reaches the driver; cells are joined up by tables.
     """
-    box = rows.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    if box[0] is None:
+    finite = (F.abs(F.col(x)) < float("inf")) & (F.abs(F.col(y)) < float("inf"))
+    tenths = [F.percentile_approx(c, [0.1, 0.9]).alias(c) for c in (x, y)]
+    box = rows.filter(finite).agg(*tenths, *[(F.max(c) - F.min(c)).alias(f"_{c}") for c in (x, y)]).first()
+    if box[x] is None:
         return rows.withColumn("cluster_id", F.lit(NOISE))
-    cell = lambda c, lo, hi: F.least(F.lit(grid - 1), F.floor((F.col(c) - lo) / (((hi - lo) or 1.0) / grid))).cast("int")
-    placed = rows.withColumn("_i", cell(x, box[0], box[1])).withColumn("_j", cell(y, box[2], box[3]))
-    count = np.zeros((grid + 2, grid + 2), np.int64)
-    for r in placed.filter("_i is not null and _j is not null").groupBy("_i", "_j").count().collect():
-        count[r[0] + 1, r[1] + 1] = r[2]
-    around = sum(np.roll(np.roll(count, a, 0), b, 1) for a in (-1, 0, 1) for b in (-1, 0, 1))
-    dense = (count > 0) & (around >= min_samples)
-    group, sizes = np.full(count.shape, NOISE), []
-    for i, j in zip(*np.nonzero(dense), strict=True):
-        if group[i, j] != NOISE:
-            continue
-        todo, size = [(i, j)], 0
-        group[i, j] = len(sizes)
-        while todo:
-            a, b = todo.pop()
-            size += int(count[a, b])
-            for c in range(a - 1, a + 2):
-                for e in range(b - 1, b + 2):
-                    if dense[c, e] and group[c, e] == NOISE:
-                        group[c, e] = len(sizes)
-                        todo.append((c, e))
-        sizes.append(size)
-    order = {g: k for k, g in enumerate(sorted((g for g, s in enumerate(sizes) if s >= min_cluster_size), key=lambda g: -sizes[g]))}
-    cells = [(int(i) - 1, int(j) - 1, order[group[i, j]]) for i, j in zip(*np.nonzero(group != NOISE), strict=True) if group[i, j] in order]
-    named = F.broadcast(rows.sparkSession.createDataFrame(cells, "_i int, _j int, cluster_id int"))
-    return placed.join(named, ["_i", "_j"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(NOISE))).drop("_i", "_j")
+    wide = max(float(box[c][1] - box[c][0]) for c in (x, y)) or max(float(box[f"_{c}"]) for c in (x, y)) or 1.0
+    finest = 2.0 ** (math.ceil(math.log2(wide)) - LEVELS)
+    place = lambda c: F.when(finite, F.floor(F.greatest(F.lit(-(2.0**52)), F.least(F.lit(2.0**52), F.col(c) / finest))))
+    placed = rows.withColumns({"_i": place(x), "_j": place(y)})
+    counts = written(placed.filter("_i is not null").groupBy("_i", "_j").agg(F.count("*").alias("n")))
+    each = counts.select(F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("l"), "_i", "_j", "n")
+    each = each.groupBy("l", F.expr("shiftright(_i, l)").alias("i"), F.expr("shiftright(_j, l)").alias("j")).agg(F.sum("n").alias("n"))
+    levels = each.groupBy("l").agg(F.sum(F.when(F.col("n") >= min_samples, F.col("n")).otherwise(0)).alias("inside"), F.sum("n").alias("every")).collect()
+    level = min((r["l"] for r in levels if r["inside"] >= share * r["every"]), default=LEVELS)
+
+    own = lambda c: F.shiftright(c, level)
+    cells = written(counts.groupBy(F.struct(own("_i").alias("i"), own("_j").alias("j")).alias("cell")).agg(F.sum("n").alias("n")))
+    dense = cells.filter(F.col("n") >= min_samples).select("cell")
+    shifted = lambda steps: F.explode(F.array(*[F.struct((F.col("cell.i") + a).alias("i"), (F.col("cell.j") + b).alias("j")) for a, b in steps]))
+    later = dense.select(F.col("cell").alias("b"), shifted([(0, 1), (1, -1), (1, 0), (1, 1)]).alias("cell"))
+    joined = components(later.join(dense, "cell").select(F.col("cell").alias("a"), "b")).withColumnRenamed("node", "cell")
+    groups = dense.join(joined, "cell", "left").select("cell", F.coalesce("group", "cell").alias("group"))
+    around = groups.select("group", shifted([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]).alias("cell"))
+    # all dense neighbours of a dense cell are of its group, so the least group is its own
+    owned = written(around.groupBy("cell").agg(F.min("group").alias("group")).join(cells, "cell"))
+    big = owned.groupBy("group").agg((-F.sum("n")).alias("_less")).filter(F.col("_less") <= -min_cluster_size)
+    named = owned.join(numbered(big, ["_less", "group"], "cluster_id"), "group").select(F.col("cell.i").alias("_i"), F.col("cell.j").alias("_j"), F.col("cluster_id").cast("int").alias("cluster_id"))
+    met = placed.withColumns({"_i": own("_i"), "_j": own("_j")}).join(named, ["_i", "_j"], "left")
+    return met.withColumn("cluster_id", F.coalesce("cluster_id", F.lit(NOISE))).drop("_i", "_j")
 
 
 def concept_weights(rows: DataFrame, vector: str, concept: list[float], strength: float = 3.0) -> DataFrame:

@@ -185,3 +185,27 @@ def test_streams_take_the_same_columns(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("tagged_rows").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(str, spark.table("tagged_rows").collect())) == sorted(map(str, tagged(rows).collect()))
+
+def test_grid_cells_follow_the_data(spark):
+    """The same two groups with thin rows between them come apart at ten times the rows, too, and far rows change nothing."""
+    import random
+
+    rng = random.Random(3)
+
+    def rows(n):
+        near = [(rng.gauss(c, 0.1), rng.gauss(0, 0.1)) for c in (0, 5) for _ in range(n)]
+        return near + [(rng.uniform(1, 4), rng.uniform(-2, 2)) for _ in range(n // 20)] + [(1e6, 1e6), (float("nan"), 0.0), (None, 1.0)]
+
+    for n in (200, 2000):
+        df = spark.createDataFrame(rows(n), "x double, y double").repartition(3)
+        found = K.grid_density(df)
+        sizes = {r["cluster_id"]: r["count"] for r in found.groupBy("cluster_id").count().collect()}
+        assert set(sizes) >= {-1, 0, 1} and sizes[0] + sizes[1] > 1.8 * n and sum(sizes.values()) == df.count()
+        assert found.filter("cluster_id in (0, 1)").filter("abs(x) > 1.5 and abs(x - 5) > 1.5").count() == 0
+        assert found.filter("x is null or isnan(x) or x > 100").filter("cluster_id <> -1").count() == 0
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(1, 40)] + [(50, 60), (60, 55), (7, 7)]
+    got = dict(map(tuple, K.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {k: 1 for k in range(2, 41)} | {55: 50, 60: 50}
