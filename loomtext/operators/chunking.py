@@ -140,6 +140,12 @@ def chunks(docs: DataFrame, key: str, text: str, mode: str = "small", limit: int
     return rows.withColumns({"chunk_id": T.chunk_id(F.col(key), F.col("order")), "chunk_id_v2": T.content_id(F.col(key), F.col("text"))})
 
 
+def with_metadata(rows: DataFrame, docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Chunks with ``meta``, a struct of the document's ``fields``; a field that ``docs`` lacks is null."""
+    some = [(F.col(f) if f in docs.columns else F.lit(None).cast("string")).alias(f) for f in fields]
+    return rows.join(docs.select(key, F.struct(*some).alias("meta")), key)
+
+
 def without_overlap(rows: DataFrame, key: str, order: str, text: str, longest: int = 250) -> DataFrame:
     """(key, full_text): chunks in order, each without the start that repeats the end of the one before, blank lines between."""
     before = F.lag(text).over(Window.partitionBy(key).orderBy(order))

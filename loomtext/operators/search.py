@@ -106,6 +106,12 @@ def first_per(rows: DataFrame, group: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def best_per_job(ranked: DataFrame, query_id: str, job: str, k: int) -> DataFrame:
+    """The best row (by ``rank``) of each job for each query, the first k of them ranked anew."""
+    one = first_per(ranked, [query_id, job], ["rank"])
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("rank"))).filter(F.col("rank") <= k)
+
+
 def merged_by_content(rows: DataFrame, content: str, position: str, queries: str) -> DataFrame:
     """One row for each content, the first, with the distinct queries that met it."""
     whole = F.struct(*rows.columns)

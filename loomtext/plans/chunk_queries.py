@@ -59,6 +59,17 @@ def x8_x11(spark: SparkSession, d: str) -> DataFrame:
     return C.chunks(_docs(spark, d), "doc_id", "text")
 
 
+@query("x11_chunks_with_metadata", None)
+def x11_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with the document's fields and language."""
+    from ..operators.profiles import function_word_language
+
+    docs = _docs(spark, d)
+    known = docs.join(function_word_language(docs, "doc_id", "text").withColumnRenamed("lang", "language"), "doc_id")
+    out = C.with_metadata(C.chunks(docs, "doc_id", "text"), known, "doc_id", ["source", "lang", "language"])
+    return out.select("doc_id", "order", "chunk_id", "meta.source", "meta.lang", "meta.language")
+
+
 @query("x12_structural_chunks", None)
 def x12(spark: SparkSession, d: str) -> DataFrame:
     return C.chunks(_docs(spark, d), "doc_id", "text", "structural")
@@ -129,8 +140,17 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d), "substring").select("doc_id", "term", "pos")
 
 
-#: The same words without look-around: a mark belongs to a word if a word character follows it.
-@query("a7_vocabulary_words", None)
+#: The same words without look-around: a mark belongs to a word together with the word character that follows it.
+WORDS_SQL = r"regexp_extract_all({}, '\.?[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_+#]|[.\-/&][\p{{L}}\p{{N}}_])*')"
+
+_A7 = f"""WITH {VOCAB_SQL}, forms AS (SELECT term, array_to_string(w, ' ') AS form, len(w) AS n FROM (SELECT term, {WORDS_SQL.format('term')} AS w FROM vocab) WHERE len(w) > 0),
+tok AS (SELECT doc_id, {WORDS_SQL.format('text')} AS t FROM documents),
+span AS (SELECT doc_id, i - 1 AS pos, array_to_string(t[i : i + n - 1], ' ') AS span FROM tok, (SELECT DISTINCT n FROM forms), unnest(generate_series(1, len(t) - n + 1)) AS g(i)),
+once AS (SELECT doc_id, lower(span) AS form, arg_min(span, pos) AS value, min(pos) AS pos FROM span WHERE lower(span) IN (SELECT form FROM forms) GROUP BY ALL)
+SELECT doc_id, term, value, CAST(pos AS INTEGER) AS pos FROM once JOIN forms USING (form)"""
+
+
+@query("a7_vocabulary_words", _A7)
 def a7(spark: SparkSession, d: str) -> DataFrame:
     return A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d)).select("doc_id", "term", "value", "pos")
 

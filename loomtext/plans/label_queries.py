@@ -43,6 +43,12 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").offset(100).limit(50)
 
 
+@query("t1_page_with_total", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def t1_total(spark: SparkSession, d: str) -> DataFrame:
+    total = table(spark, d, "orders").agg(F.count("*").alias("total"))  # one row
+    return t1(spark, d).crossJoin(F.broadcast(total))
+
+
 @query("t6_selected_first", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY (o_orderkey % 7 = 0) DESC, o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders WHERE o_orderstatus = 'F' QUALIFY place <= 100")
 def t6(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").filter("o_orderstatus = 'F'")

@@ -94,6 +94,17 @@ def _register_hybrid(name: str, alpha: float) -> None:
 
 
 _register_hybrid("r4_hybrid_search", 0.55)
+
+
+@query("r7_best_chunk_per_job", f"{hybrid_sql(0.55)}, one AS (SELECT query_id, doc_id, source, rank AS r FROM hr JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1) SELECT query_id, source, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM one QUALIFY rank <= 8")
+def r7_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid candidates, the best chunk (document) of each job (source), the first 8 jobs of each query."""
+    v = S.best(_vec(spark, d), "query_id", "doc_id", "score", 12)
+    b = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 12)
+    mixed = S.hybrid(v, b, "query_id", "doc_id", 0.55, 24).join(_docs(spark, d).select("doc_id", "source"), "doc_id")
+    return S.best_per_job(mixed, "query_id", "source", 8).select("query_id", "source", "doc_id", "rank")
+
+
 _register_hybrid("r5_semantic_search", 1.0)
 _register_hybrid("r5_keyword_search", 0.0)
 
@@ -138,6 +149,15 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
     return S.best(_vec(spark, d).filter("doc_id <> query_id"), "query_id", "doc_id", "score", 5).select("query_id", "doc_id", "rank")
 
 
+@query("r10_similar_jobs", f"WITH {VEC_SQL}, o AS (SELECT query_id, dot.doc_id, d.source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, dot.doc_id) AS r FROM dot JOIN documents d ON d.doc_id = dot.doc_id JOIN documents q ON q.doc_id = query_id WHERE d.source IS DISTINCT FROM q.source), one AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY r) = 1) SELECT query_id, source, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM one QUALIFY rank <= 5")
+def r10_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The jobs (sources) most like each query's, its own left out, each once by its best row."""
+    jobs = _docs(spark, d).select("doc_id", "source")
+    met = _vec(spark, d).join(jobs, "doc_id").join(jobs.select(F.col("doc_id").alias("query_id"), F.col("source").alias("own")), "query_id")
+    tops = S.first_per(met.filter(~F.col("source").eqNullSafe(F.col("own"))).withColumn("score", F.round("score", S.DIGITS)), ["query_id", "source"], [F.desc("score"), "doc_id"])
+    return S.best(tops, "query_id", "doc_id", "score", 5).select("query_id", "source", "doc_id", "rank")
+
+
 @query("r14_result_lists", f"WITH {BM25_SQL} SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS ids, string_agg('- ' || doc_id || ' @ ' || source, chr(10) ORDER BY rank) AS lines FROM bmr JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY query_id")
 def r14(spark: SparkSession, d: str) -> DataFrame:
     top = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 8).join(_docs(spark, d), "doc_id")

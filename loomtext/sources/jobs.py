@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,14 @@ class ClusterCache:
         df = self._table(layer)
         return None if df is None or key not in self.keys(layer) else df.filter(F.col("cache_key") == key).drop("cache_key")
 
+    def through(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The points under ``key``; made, saved and read again if there are none."""
+        found = self.load(key)
+        if found is None:
+            self.save(key, make())
+            found = self.load(key)
+        return found
+
     def invalidate(self, key: str) -> None:
         for layer in ("points", "polygons", "labels"):
             p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{layer}/cache_key={key}")

@@ -162,5 +162,9 @@ def test_tables_and_cache(spark, jobs, tmp_path):
     cache.save(b, points.limit(1))
     cache.save(a, points.limit(2), "polygons")
     assert cache.has(a) and cache.load(a).count() == 3 and cache.load(b).count() == 1 and cache.load(a, "polygons").count() == 2
+    made = []
+    for _ in range(2):
+        assert J.ClusterCache(spark, f"{tmp_path}/other").through(a, lambda: made.append(1) or points).count() == 3
+    assert made == [1]
     cache.invalidate(a)
     assert cache.keys() == [b]
