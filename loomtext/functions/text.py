@@ -133,8 +133,9 @@ def fenced_json(answer: Column, schema: str) -> Column:
 
 
 def citations(c: Column) -> Column:
-    """The distinct ``[n]`` of an answer, in order of their first mention."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
+    """The distinct ``[n]`` of an answer, in order of their first mention; a number beyond an int is none."""
+    found = F.transform(F.regexp_extract_all(text_or_empty(c), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("int"))
+    return F.array_distinct(F.filter(found, lambda i: i.isNotNull()))
 
 
 def cited(sources: Column, indices: Column) -> Column:
