@@ -123,3 +123,73 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN per USING (doc_id)
 """
 )
+
+# A document's passages are hashed, each lane counts the hashes that have its bit, four lanes make a word.
+_FINGERPRINT = """
+  SELECT *, list_transform(range(0, 64), lambda k: list_reduce(list_prepend(0::UHUGEINT, list_transform(h, lambda x: ((('0x' || substr(x, 1 + 16 * (k // 16), 16))::UBIGINT >> CAST(k % 16 AS UBIGINT)) & 281479271743489::UBIGINT)::UHUGEINT)), lambda s, y: s + y)) AS words
+  FROM (SELECT {keep}, list_transform(list_filter(string_split_regex({text}, '\\n+|[.,;:!?] +'), lambda p: p <> ''), lambda p: sha256(p)) AS h FROM {source})"""
+_DIFFERENCES = "list_transform(range(0, 256), lambda i: CAST(2 * ((words[1 + i // 4] >> CAST(16 * (i % 4) AS UHUGEINT)) & 65535::UHUGEINT) AS BIGINT) - len(h))"
+_COSINE = "CASE WHEN {x}x = 0 OR {y}x = 0 THEN CAST({x}x = 0 AND {y}x = 0 AS DOUBLE) ELSE greatest(0.0, least(1.0, round({dot} / sqrt({x}x * {y}x), 6))) END"
+ORACLES["op12_fingerprints"] = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\n"
+    "e AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first(text) OVER (ORDER BY doc_id)) AS after FROM d),\n"
+    "f AS (SELECT doc_id, text, n, after, left(text, n - n // 2) || left(after, n // 2) AS edited FROM e),\n"
+    + f"own AS ({_FINGERPRINT.format(keep='doc_id, n, edited', text='text', source='f')}),\n"
+    + f"alt AS ({_FINGERPRINT.format(keep='doc_id', text='edited', source='f')}),\n"
+    + f"v AS (SELECT doc_id, n, edited, h, words, {_DIFFERENCES} AS d FROM own),\n"
+    + f"w AS (SELECT doc_id, h, words, {_DIFFERENCES} AS d FROM alt),\n"
+    + """x AS (
+  SELECT doc_id, v.n, sha256(v.edited) AS edited_sha256, CAST(len(v.h) AS VARCHAR) || ':' || array_to_string(list_transform(v.words, lambda y: lpad(lower(hex(y::UBIGINT)), 16, '0')), '') AS fingerprint,
+         CAST(len(w.h) AS VARCHAR) || ':' || array_to_string(list_transform(w.words, lambda y: lpad(lower(hex(y::UBIGINT)), 16, '0')), '') AS edited_fingerprint,
+         v.d AS p, w.d AS q, coalesce(lead(v.d) OVER (ORDER BY doc_id), first(v.d) OVER (ORDER BY doc_id)) AS r FROM v JOIN w USING (doc_id)
+), y AS (SELECT *, list_sum(list_transform(p, lambda a: a * a)) AS px, list_sum(list_transform(q, lambda a: a * a)) AS qx, list_sum(list_transform(r, lambda a: a * a)) AS rx,
+         list_dot_product(p::DOUBLE[], q::DOUBLE[]) AS pq, list_dot_product(p::DOUBLE[], r::DOUBLE[]) AS pr FROM x)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint, """
+    + _COSINE.format(x="p", y="q", dot="pq") + " AS near_edited, " + _COSINE.format(x="p", y="r", dot="pr") + " AS near_next FROM y\n"
+)
+
+# Whole levels as lists, one tree after the other; then each leaf walks up with the level's list beside it.
+_FIELD = "coalesce(CAST(octet_length(encode({0}::VARCHAR)) AS VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+ORACLES["op13_manifest"] = (
+    "WITH RECURSIVE d AS (SELECT doc_id, lang, " + _LEAF.format(n_chars="n_chars") + " AS leaf, " + _LEAF.format(n_chars="(n_chars + 1)") + """ AS other FROM documents),
+crc AS (
+  WITH RECURSIVE c AS (
+    SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 1 AS i, 0 AS bit, xor(4294967295::BIGINT, ascii(CAST(doc_id AS VARCHAR)[1])::BIGINT) AS r FROM d
+    UNION ALL
+    SELECT doc_id, s, CASE WHEN bit = 7 THEN i + 1 ELSE i END, CASE WHEN bit = 7 THEN 0 ELSE bit + 1 END,
+           xor(CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END, CASE WHEN bit = 7 AND i < len(s) THEN ascii(s[i + 1])::BIGINT ELSE 0 END)
+    FROM c WHERE i <= len(s)
+  ) SELECT doc_id, xor(r, 4294967295::BIGINT) AS crc FROM c WHERE i > len(s)
+),
+o AS (SELECT d.*, CASE WHEN crc % 7 = 0 THEN other ELSE leaf END AS shown, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS BIGINT) AS spot FROM d LEFT JOIN crc USING (doc_id)),
+up AS (
+  SELECT lang, 0 AS level, list(leaf ORDER BY spot) AS nodes FROM o GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], ''))) FROM up WHERE len(nodes) > 1
+),
+sub AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot FROM up WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY spot) AS nodes FROM sub
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda k: sha256(nodes[2 * k + 1] || coalesce(nodes[2 * k + 2], ''))) FROM top WHERE len(nodes) > 1
+),
+walk AS (
+  SELECT doc_id, lang, 0 AS level, spot, leaf, shown AS now, '' AS proof FROM o
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.level + 1, w.spot // 2, w.leaf, sha256(CASE WHEN w.spot % 2 = 1 THEN u.nodes[w.spot] || w.now ELSE w.now || coalesce(u.nodes[w.spot + 2], '') END),
+         w.proof || CASE WHEN w.spot % 2 = 1 THEN u.nodes[w.spot] ELSE coalesce(u.nodes[w.spot + 2], '') END
+  FROM walk w JOIN up u ON w.lang IS NOT DISTINCT FROM u.lang AND w.level = u.level AND len(u.nodes) > 1
+),
+half AS (SELECT w.* FROM walk w JOIN up u ON w.lang IS NOT DISTINCT FROM u.lang AND w.level = u.level AND len(u.nodes) = 1),
+rest AS (
+  SELECT h.doc_id, 0 AS level, s.spot, h.leaf, s.subroot, h.now, h.proof FROM half h JOIN sub s ON h.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT w.doc_id, w.level + 1, w.spot // 2, w.leaf, w.subroot, sha256(CASE WHEN w.spot % 2 = 1 THEN u.nodes[w.spot] || w.now ELSE w.now || coalesce(u.nodes[w.spot + 2], '') END),
+         w.proof || CASE WHEN w.spot % 2 = 1 THEN u.nodes[w.spot] ELSE coalesce(u.nodes[w.spot + 2], '') END
+  FROM rest w JOIN top u ON w.level = u.level AND len(u.nodes) > 1
+)
+SELECT doc_id, leaf, subroot, u.nodes[1] AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = u.nodes[1] AS verified
+FROM rest w JOIN top u ON w.level = u.level AND len(u.nodes) = 1
+"""
+)

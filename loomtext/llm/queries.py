@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secret_scan
+from . import fingerprints, secret_scan
+from . import manifest as merkle
+from .alignment import alignment
 from .bitsliced import top_k
 from .decontaminate import contamination
 from .language_id import held_out, identify
@@ -85,6 +87,29 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of a byte-level vocabulary against those of a sentencepiece model."""
+    return alignment(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and that of the document with its second half replaced."""
+    out = fingerprints.edits(_read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("own")).alias("fingerprint"), fingerprints.as_text(F.col("altered")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every document in the manifest; a seventh of them are shown with one character more than they have."""
+    more = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    own = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, merkle.leaf(*more)).otherwise(merkle.leaf(*own))
+    out = merkle.manifest(_read(spark, sf_dir, "documents"), shown=tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", "").cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotations": op1_quotations,
     "op2_near_dedup": op2_near_dedup,
@@ -96,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_alignment": op11_alignment,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_manifest": op13_manifest,
 }
 
 from .oracles import ORACLES  # noqa: E402, F401
