@@ -6,13 +6,12 @@ order; no join and no second scan. Evidence lies ``around`` characters on either
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from . import rules as R
+from .matching import VOCABULARY_TOKEN, similar_names, term_hits
 
 VALUE = "struct<no:int,value:string,evidence:string>"
 
@@ -21,12 +20,17 @@ def _ci(pattern: str) -> str:
     return "(?iu)" + pattern
 
 
+def _evidence(text: Column, parts: Column, n: int) -> Column:
+    """The match between the ``parts`` that it splits a text into, with ``n`` characters on both sides, trimmed."""
+    before = F.length(F.get(parts, 0))
+    end = F.length(text) - F.length(F.get(parts, 1)) + n
+    first = F.greatest(F.lit(1), before + 1 - n)
+    return F.trim(F.substring(text, first, end + 1 - first))
+
+
 def around(text: Column, pattern: str, n: int) -> Column:
-    """The first match with ``n`` characters on both sides, trimmed."""
-    at = F.regexp_instr(text, F.lit(_ci(pattern)))
-    first = F.greatest(F.lit(1), at - n)
-    end = at + F.length(F.regexp_extract(text, _ci(pattern), 0)) + n
-    return F.trim(F.substring(text, first, end - first))
+    """The first match with ``n`` characters on both sides, trimmed; null without one."""
+    return T.bound(F.split(text, _ci(pattern), 2), lambda parts: F.when(F.size(parts) > 1, _evidence(text, parts, n)))
 
 
 def _labelled(text: Column, rules: tuple[tuple[str, str], ...], n: int, value=None) -> Column:
@@ -36,9 +40,12 @@ def _labelled(text: Column, rules: tuple[tuple[str, str], ...], n: int, value=No
         by.setdefault(label, []).append((no, pattern))
 
     def hit(no: int, pattern: str, label: str) -> Column:
-        evidence = around(text, pattern, n)
-        v = value(label, evidence) if value else F.lit(label)
-        return F.when(text.rlike(_ci(pattern)), F.struct(F.lit(no).alias("no"), v.alias("value"), evidence.alias("evidence")))
+        def made(context: Column) -> Column:
+            v = value(label, context) if value else F.lit(label)
+            return F.when(context.isNotNull(), F.struct(F.lit(no).alias("no"), v.alias("value"), context.alias("evidence")))
+
+        # the one run of the pattern
+        return T.bound(around(text, pattern, n), made)
 
     each = [F.coalesce(*[hit(no, p, label) for no, p in own]) for label, own in by.items()]
     return F.array_sort(F.filter(F.array(*each), lambda x: x.isNotNull()))
@@ -88,32 +95,23 @@ def with_years(docs: DataFrame, text: str, out: str = "years") -> DataFrame:
     return docs
 
 
-#: A word with the marks that names of tools hold: c++, c#, .net, node.js, ci/cd.
-VOCABULARY_TOKEN = r"\.?[\p{L}\p{N}_](?:[\p{L}\p{N}_+#]|[.\-/&](?=[\p{L}\p{N}_]))*"
-
-
 def vocabulary_hits(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, match: str = "tokens") -> DataFrame:
-    """(key, aspect, term, value, pos): terms of ``vocabulary`` (aspect, term) in each text, one row a term.
+    """(key, aspect, term, value, pos, evidence): terms of ``vocabulary`` (aspect, term) in each text, one row a term.
 
     ``tokens``: whole words, value as first written; ``substring``: anywhere in the text, value as in the vocabulary.
-    In tokens mode terms of any length count, in the token form of texts: marks between words don't matter.
+    In tokens mode terms of any length count, in the token form of texts: marks between words don't matter. Terms that
+    are empty, or without a word in tokens mode, hit nothing. evidence: the text around, 30 characters on either side.
     """
     vocab = vocabulary.select("aspect", F.col("term").alias("_term"), F.lower("term").alias("term"))
     if match == "substring":
-        hits = docs.join(vocab, F.lower(F.col(text)).contains(F.col("term")))
-        return hits.groupBy(key, "aspect", "term").agg(F.min("_term").alias("value"), F.min(F.instr(F.lower(F.col(text)), F.col("term"))).alias("pos"))
+        names = vocab.groupBy("aspect", "term").agg(F.min("_term").alias("value"))
+        hits = term_hits(docs, key, text, names).groupBy(key, "term").agg(F.min("pos").alias("pos"), F.min_by("evidence", "pos").alias("evidence"))
+        return hits.join(names, "term").select(key, "aspect", "term", "value", "pos", "evidence")
     forms = vocab.withColumn("_t", F.regexp_extract_all("term", F.lit(VOCABULARY_TOKEN), F.lit(0))).filter(F.size("_t") > 0)
-    forms = forms.select("aspect", "term", F.array_join("_t", " ").alias("_form"), F.size("_t").alias("_n")).distinct()
-    lengths = sorted(r[0] for r in forms.select("_n").distinct().collect())  # as many as words of the longest term
-    tokens = docs.select(key, F.regexp_extract_all(F.col(text), F.lit(VOCABULARY_TOKEN), F.lit(0)).alias("t"))
-
-    def spans(n: int) -> Column:
-        return F.transform(T.ngrams(F.col("t"), n), lambda g, i: F.struct(i.alias("pos"), g.alias("span")))
-
-    found = tokens.select(key, F.explode(F.concat(*[spans(n) for n in lengths or [1]])).alias("g")).select(key, "g.pos", "g.span", F.lower("g.span").alias("_form"))
-    # only spans that are terms are shuffled, term by document first, so the join meets each once
-    once = found.join(forms.select("_form").distinct(), "_form", "left_semi").groupBy(key, "_form").agg(F.min_by("span", "pos").alias("value"), F.min("pos").alias("pos"))
-    return once.join(forms, "_form").select(key, "aspect", "term", "value", "pos")
+    forms = forms.select("aspect", "term", F.array_join("_t", " ").alias("_form")).distinct()
+    hits = term_hits(docs, key, text, forms.select(F.col("_form").alias("term")), words=True)
+    once = hits.groupBy(key, F.col("term").alias("_form")).agg(F.min_by("value", "pos").alias("value"), F.min_by("evidence", "pos").alias("evidence"), F.min("pos").alias("pos"))
+    return once.join(forms, "_form").select(key, "aspect", "term", "value", "pos", "evidence")
 
 
 def extract(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None, match: str = "tokens") -> DataFrame:
@@ -129,7 +127,7 @@ def extract(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None =
         return out
     hits = vocabulary_hits(docs.filter(F.col(text) != ""), key, text, vocabulary, match)
     pos = F.row_number().over(Window.partitionBy(key, "aspect").orderBy("value")) - 1
-    return out.unionByName(hits.select(key, "aspect", "value", pos.alias("pos"), F.lit(None).cast("string").alias("evidence")))
+    return out.unionByName(hits.select(key, "aspect", "value", pos.alias("pos"), "evidence"))
 
 
 def _named(aspect: str, values: Column) -> Column:
@@ -180,36 +178,17 @@ def aliases(spark, extra: DataFrame | None = None) -> DataFrame:
     return df.groupBy("alias").agg(F.max_by("canonical", F.struct("no", "canonical")).alias("canonical"))
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """200 * (longest common subsequence) / (both lengths)."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
-
-
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def normalised(names: DataFrame, known: DataFrame, col: str = "entity", fuzzy: bool = True, least: float = 85.0) -> DataFrame:
     """``names`` with ``canonical``: by spelling, else the closest canonical name of a ratio of ``least`` or more (ties by name), else as it is.
 
-    Only distinct names that no spelling fits are compared, with canonical names of a length that can reach the ratio.
+    Only distinct names that no spelling fits are compared, with canonical names that share enough bigrams.
     """
     form = F.lower(F.trim(col))
     exact = names.withColumn("_form", form).join(known.select(F.col("alias").alias("_form"), F.col("canonical").alias("_exact")), "_form", "left")
     if not fuzzy:
         return exact.withColumn("canonical", F.coalesce("_exact", F.trim(col))).drop("_form", "_exact")
     open_ = exact.filter("_exact is null and _form is not null").select("_form").distinct()
-    targets = known.select(F.col("canonical").alias("_name")).distinct()
-    n, m = F.length("_form"), F.length("_name")
-    near = open_.join(targets, 200 * F.least(n, m) >= least * (n + m)).withColumn("_r", _ratio(F.col("_form"), F.lower("_name"))).filter(F.col("_r") >= least)
+    near = similar_names(open_, known.select(F.col("canonical").alias("_name")).distinct(), least)
     best = near.groupBy("_form").agg(F.min_by("_name", F.struct(-F.col("_r"), F.col("_name"))).alias("_near"))
     return exact.join(best, "_form", "left").withColumn("canonical", F.coalesce("_exact", "_near", F.trim(col))).drop("_form", "_exact", "_near")
 

@@ -87,48 +87,69 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
-_STRINGS = "array<string>"
+#: Items that one inner fold of ``window_starts`` goes over, so that what it has found so far stays short.
+FOLD = 1000
+
+
+def joined_runs(items: Column, starts: Column, between: str = " ") -> Column:
+    """The items from each start up to the next, put together: every string is cut and copied once. Both must be bound."""
+    upto = lambda k: F.when(k + 1 < F.size(starts), F.get(starts, k + 1)).otherwise(F.size(items))
+    return F.transform(starts, lambda s, k: F.array_join(F.slice(items, s + 1, upto(k) - s), between))
 
 
 def _bullets(found: Column) -> Column:
     """Bullet lines without their marks, with the lines that follow them; what stands before the first is left out."""
-    def step(done: Column, line: Column) -> Column:
-        last = F.concat(F.element_at(done, -1), F.lit(" "), line)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(last))
-        return F.when(line.rlike(BULLET), F.concat(done, F.array(F.trim(F.regexp_replace(line, BULLET, ""))))).when(F.size(done) > 0, longer).otherwise(done)
+    starts = F.filter(F.transform(found, lambda x, i: F.when(x.rlike(BULLET), i)), lambda i: i.isNotNull())
+    bare = F.transform(found, lambda x: F.when(x.rlike(BULLET), F.trim(F.regexp_replace(x, BULLET, ""))).otherwise(x))
+    return F.filter(T.bound(bare, lambda b: T.bound(starts, lambda s: joined_runs(b, s))), lambda b: F.length(b) > 3)
+
+
+def window_starts(sizes: Column, limit: int = WINDOW) -> Column:
+    """The items that begin a window, of items of ``sizes`` (1 or more) packed one after the other with one between them.
+
+    The fold keeps a running length and stores item numbers; it goes over stretches of ``FOLD`` items, whose numbers
+    are put together at the end, so its cost is linear in the items.
+    """
+    whole = "array<array<int>>"
 
-    return F.filter(F.aggregate(found, F.array().cast(_STRINGS), step), lambda b: F.length(b) > 3)
+    def stretch(s: Column, c: Column) -> Column:
+        def step(t: Column, i: Column) -> Column:
+            n = F.get(sizes, i)
+            new = (t["at"] == 0) | (t["at"] + 1 + n > limit)
+            return F.struct(F.when(new, n).otherwise(t["at"] + 1 + n).alias("at"), F.when(new, F.concat(t["done"], F.array(i))).otherwise(t["done"]).alias("done"))
+
+        own = F.sequence(c * FOLD, F.least((c + 1) * FOLD, F.size(sizes)) - 1)
+        begin = F.struct(s["at"].alias("at"), F.array().cast("array<int>").alias("done"))
+        return F.aggregate(own, begin, step, lambda t: F.struct(t["at"].alias("at"), F.concat(s["done"], F.array(t["done"])).alias("done")))
+
+    stretches = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / FOLD).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.aggregate(stretches, F.struct(F.lit(0).alias("at"), F.array().cast(whole).alias("done")), stretch, lambda s: s["done"]))
 
 
 def windows(sents: Column, limit: int = WINDOW) -> Column:
     """Sentences packed one after the other into windows of at most ``limit`` characters; a longer one stands alone."""
-    start = F.struct(F.array().cast(_STRINGS).alias("done"), F.lit("").alias("buf"))
-
-    def step(s: Column, x: Column) -> Column:
-        empty = s["buf"] == ""
-        size = F.when(empty, F.length(x)).otherwise(F.length(s["buf"]) + 1 + F.length(x))
-        fits = size <= limit
-        return F.struct(
-            F.when(fits | empty, s["done"]).otherwise(F.concat(s["done"], F.array(s["buf"]))).alias("done"),
-            F.when(empty | ~fits, x).otherwise(F.concat(s["buf"], F.lit(" "), x)).alias("buf"),
-        )
+    def packed(items: Column) -> Column:
+        sizes = F.transform(items, lambda x: F.length(x))
+        return T.bound(T.bound(sizes, lambda n: window_starts(n, limit)), lambda starts: joined_runs(items, starts))
 
-    return F.aggregate(sents, start, step, lambda s: F.when(s["buf"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["buf"]))))
+    return T.bound(sents, packed)
 
 
 def overlapped(chunks: Column, overlap: int = OVERLAP) -> Column:
     """Each window but the first with the end of the one before in front."""
-    return F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(F.trim(F.concat(F.right(F.element_at(chunks, i), F.lit(overlap)), F.lit(" "), c))))
+    each = lambda own: F.transform(own, lambda c, i: F.when(i == 0, c).otherwise(F.trim(F.concat(F.right(F.get(own, i - 1), F.lit(overlap)), F.lit(" "), c))))
+    return T.bound(chunks, each)
 
 
 def pieces(blocks: DataFrame, text: str, limit: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """``blocks`` with ``pieces``: its bullets if at least half of its lines (and two) are some, else overlapping sentence windows."""
     found = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    bulleted = F.size(F.filter("_lines", lambda x: x.rlike(BULLET))) >= F.greatest(F.lit(2), F.floor(F.size("_lines") / 2))
-    # the steps are separate columns, so that none is computed anew for each element of the next
-    out = blocks.withColumn("_lines", found).withColumn("_bulleted", bulleted)
-    out = out.withColumn("_windows", F.when(~F.col("_bulleted"), windows(sentences(F.array_join("_lines", " ")), limit)))
-    return out.withColumn("pieces", F.when(F.col("_bulleted"), _bullets(F.col("_lines"))).otherwise(overlapped(F.col("_windows"), overlap))).drop("_lines", "_bulleted", "_windows")
+
+    def cut(lines_: Column) -> Column:
+        bulleted = F.size(F.filter(lines_, lambda x: x.rlike(BULLET))) >= F.greatest(F.lit(2), F.floor(F.size(lines_) / 2))
+        return F.when(bulleted, _bullets(lines_)).otherwise(overlapped(windows(sentences(F.array_join(lines_, " ")), limit), overlap))
+
+    return blocks.withColumn("pieces", T.bound(found, cut))
 
 
 def chunks(docs: DataFrame, key: str, text: str, mode: str = "small", limit: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:

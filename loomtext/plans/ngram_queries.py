@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ngrams as N
 from ..operators import tfidf as K
+from ..operators.matching import term_hits
 from .registry import query
 from .tables import table
 from .text_queries import NGRAM_FORM, STOP
@@ -173,7 +174,7 @@ def t4(spark: SparkSession, d: str) -> DataFrame:
 def j10(spark: SparkSession, d: str) -> DataFrame:
     terms = N.unigram_counts(_docs(spark, d), "text").filter("frequency >= 50").select(F.col("word").alias("term"))
     phrases = N.corpus_ngrams(_docs(spark, d), "doc_id", "text", 2, 2, 20).select("ngram")
-    return terms.join(phrases, F.col("ngram").contains(F.col("term"))).select("term").distinct()
+    return term_hits(phrases, "ngram", "ngram", terms).select("term").distinct()
 
 
 @query("u5_distinct_words", f"WITH {grams_sql(1, 1)} SELECT DISTINCT ngram AS word FROM grams")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import aspects as A
 from loomtext.operators import chunking as C
+from loomtext.operators import matching as M
 from loomtext.sources import jobs as J
 
 FIRST = """Requirements:
@@ -128,7 +129,7 @@ def test_names(spark):
     assert A.normalised(names.filter("entity = 'k8s'"), more).first().canonical == "Kube"
     lists = spark.createDataFrame([(1, ["js", "JavaScript", "py"])], "k long, v array<string>")
     assert A.normalised_lists(lists, known, "k", "v").first().v == ["JavaScript", "Python"]
-    assert A.indel_ratio("ab", "ab") == 100 and A.indel_ratio("ab", "cd") == 0
+    assert M.indel_ratios(["ab", "ab", ""], ["ab", "cd", ""]).tolist() == [100, 0, 100]
 
 
 def test_filters_and_exports(spark, jobs):
