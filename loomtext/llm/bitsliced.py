@@ -8,10 +8,14 @@ A query's integer weights are added up bitmap-wise: every set bit of a weight co
 own significance (complemented for a negative weight), and full adders over bitmaps reduce each significance to one
 slice. From the most significant slice down, rows are certain or possible until k are settled; rows that tie at the
 boundary are resolved by id. Each block gives its own k best, with exact scores; those of all blocks are ranked.
+
+Vectors with a component too large for sums of 64 bits are set aside and compared in whole numbers of any length.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -30,18 +34,22 @@ PACK = 32
 LARGEST = 1 << 21
 
 
-def quantised(vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """floor(scale * x) of the rows that take part, shorter ones padded with zeros, and which rows those are."""
+def quantised(vectors: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """floor(scale * x) of the rows that take part in the index, shorter ones padded with zeros; which rows those are, and which are set aside."""
     lists = vectors.to_pylist()
     good = np.array([v is not None and all(x is not None for x in v) and bool(np.isfinite(v).all()) for v in lists], bool)
+    aside = np.array([g and max(map(abs, v), default=0) * scale > LARGEST for v, g in zip(lists, good, strict=True)], bool)
+    good &= ~aside
     dim = max([len(v) for v, g in zip(lists, good, strict=True) if g], default=0)
     out = np.zeros((int(good.sum()), dim), np.int64)
     for k, v in enumerate(v for v, g in zip(lists, good, strict=True) if g):
-        x = np.floor(scale * np.asarray(v, np.float64))
-        if len(x) and np.abs(x).max() > LARGEST:
-            raise ValueError(f"a component of {x[np.abs(x).argmax()] / scale:g} is too large for 64-bit scores")
-        out[k, : len(v)] = x
-    return out, good
+        out[k, : len(v)] = np.floor(scale * np.asarray(v, np.float64))
+    return out, good, aside
+
+
+def whole_numbers(vector: list[float], scale: int) -> list[int]:
+    """floor(scale * x) of finite components, also where the product is beyond a double."""
+    return [math.floor(scale * x) if math.isfinite(scale * x) else int(x) * scale for x in vector]
 
 
 def slices(values: np.ndarray, bits: int) -> np.ndarray:
@@ -125,7 +133,7 @@ def _build(folder: str, scale: int, low: int, bits: int):
         for b in batches:
             for at in range(0, len(b), 4096):
                 x = b.slice(at, 4096)
-                values, good = quantised(x["embedding"], scale)
+                values, good, _ = quantised(x["embedding"], scale)
                 if len(values):
                     held_ids.append(x["vec_id"].to_numpy()[good])
                     held.append(values)
@@ -137,39 +145,75 @@ def _build(folder: str, scale: int, low: int, bits: int):
     return run
 
 
-def _packs(scale: int):
+def _packs(folder: str, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
         for b in batches:
             for at in range(0, len(b), PACK):
                 x = b.slice(at, PACK)
-                values, good = quantised(x["embedding"], scale)
+                values, good, _ = quantised(x["embedding"], scale)
                 if len(values):
-                    yield pa.record_batch({"pack": pa.array([(part << 32) + made], pa.int64()), "ids": pa.array([x["vec_id"].to_numpy()[good].tobytes()], pa.binary()), "weights": pa.array([values.tobytes()], pa.binary())})
+                    name = f"pack-{part:06d}-{made:04d}"
+                    _put(folder, f"{name}.ids", iter([x["vec_id"].to_numpy()[good].tobytes()]))
+                    _put(folder, f"{name}.weights", iter([values.tobytes()]))
+                    yield pa.record_batch({"pack": pa.array([name])})
                     made += 1
     return run
 
 
 def _extent(scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = high = 0
+        low = high = n = 0
         for b in batches:
             for at in range(0, len(b), 4096):
-                values, _ = quantised(b["embedding"].slice(at, 4096), scale)
-                low, high = min(low, int(values.min(initial=0))), max(high, int(values.max(initial=0)))
-        yield pa.record_batch({"low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64())})
+                values, _, aside = quantised(b["embedding"].slice(at, 4096), scale)
+                low, high, n = min(low, int(values.min(initial=0))), max(high, int(values.max(initial=0))), n + int(aside.sum())
+        yield pa.record_batch({"low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64()), "aside": pa.array([n], pa.int64())})
+    return run
+
+
+def _gathered(scale: int, aside: bool, rows: int):
+    """Rows of up to ``rows`` vectors each: those set aside, or those that are not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for at in range(0, len(b), rows):
+                x = b.slice(at, rows)
+                _, good, large = quantised(x["embedding"], scale)
+                some = x.filter(pa.array(large if aside else good))
+                if len(some):
+                    vectors = [[float(y) for y in v] for v in some["embedding"].to_pylist()]
+                    yield pa.record_batch([pa.array([(part << 32) + made], pa.int64()), pa.array([some["vec_id"].to_pylist()], pa.list_(pa.int64())), pa.array([vectors], pa.list_(pa.list_(pa.float64())))], ["no", "ids", "vectors"])
+                    made += 1
+    return run
+
+
+def _exact(scale: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = (1 << 63) - 1
+        for b in batches:
+            for r in b.to_pylist():
+                rows = [(i, whole_numbers(v, scale)) for i, v in zip(r["ids"], r["vectors"], strict=True)]
+                for q, v in zip(r["asked_ids"], r["asked"], strict=True):
+                    w = whole_numbers(v, scale)
+                    top = heapq.nsmallest(k, ((-sum(x * y for x, y in zip(w, o, strict=False)), i) for i, o in rows if i != q))
+                    yield pa.record_batch({"query_id": pa.array([q] * len(top), pa.int64()), "vec_id": pa.array([i for _, i in top], pa.int64()), "score": pa.array([max(-most - 1, min(most, -s)) for s, _ in top], pa.int64())})
     return run
 
 
 def _search(folder: str, low: int, bits: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = ""
         for b in batches:
             for r in b.to_pylist():
-                ids = np.asarray(mapped(folder, f"{r['block']}.ids", "<i8"))
-                index = np.asarray(mapped(folder, f"{r['block']}.bits", "<u8")).reshape(r["dims"] * bits, -1)
+                if r["block"] != held:  # rows come by block
+                    held = r["block"]
+                    ids = np.asarray(mapped(folder, f"{held}.ids", "<i8"))
+                    index = np.asarray(mapped(folder, f"{held}.bits", "<u8")).reshape(r["dims"] * bits, -(-len(ids) // 64))
                 every = np.packbits(np.arange(index.shape[1] * 64) < len(ids), bitorder="little").view(np.uint64)
-                asked = np.frombuffer(r["ids"], np.int64)
-                weights = np.frombuffer(r["weights"], np.int64).reshape(len(asked), -1)
+                asked = np.asarray(mapped(folder, f"{r['pack']}.ids", "<i8"))
+                flat = np.asarray(mapped(folder, f"{r['pack']}.weights", "<i8"))
+                weights = flat.reshape(len(asked), len(flat) // len(asked))
                 out: list[list[np.ndarray]] = [[], [], []]
                 for q, w in zip(asked, weights, strict=True):
                     short = w[: r["dims"]] if len(w) >= r["dims"] else np.pad(w, (0, r["dims"] - len(w)))
@@ -191,29 +235,48 @@ def _search(folder: str, low: int, bits: int, k: int):
     return run
 
 
+def _met(packs: DataFrame, blocks: DataFrame, shards: int) -> DataFrame:
+    """Every pack with every block (a row for PACK queries, for many vectors): packs go to every shard that has blocks."""
+    dealt = blocks.withColumn("shard", F.pmod(F.xxhash64(blocks.columns[0]), F.lit(shards)))
+    spread = packs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(dealt.select("shard").distinct(), "shard", "left_semi")
+    return spread.join(dealt, "shard").drop("shard")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` the k rows of ``vectors`` of other ids with the highest
     integer inner product of components floor(scale * x); ties to the smaller id; fewer if there are fewer.
 
     Rows whose id or vector is null, or whose vector holds null or non-finite components, take no part. A shorter
-    vector counts as padded with zeros. A component beyond ``LARGEST`` / ``scale`` is an error. Rows that repeat an id are candidates each; a repeated query id is
-    answered once, for its smallest vector.
+    vector counts as padded with zeros, an empty one has zeros only. Vectors with a component beyond ``LARGEST`` /
+    ``scale`` are compared outside the index; a score beyond 64 bits is the largest or smallest of them. Rows that
+    repeat an id are candidates each; a repeated query id is answered once, for its smallest vector.
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).filter("vec_id is not null and embedding is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).filter("vec_id is not null and embedding is not null")
-    asked = asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    ends = slim.mapInArrow(_extent(scale), "low long, high long").agg(F.min("low"), F.max("high")).first()
-    low, high = ends[0] or 0, ends[1] or 0
+    asked = C.written(asked.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    ends = [df.mapInArrow(_extent(scale), "low long, high long, aside long").agg(F.min("low"), F.max("high"), F.sum("aside")).first() for df in (slim, asked)]
+    low, high = ends[0][0] or 0, ends[0][1] or 0
     bits = max(1, (high - low).bit_length())
     folder = f"{C.shared_folder(spark)}/slices/{uuid.uuid4().hex}"
     index = C.written(slim.mapInArrow(_build(folder, scale, low, bits), "block string, n_rows long, dims long"))
-    packs = C.written(asked.mapInArrow(_packs(scale), "pack long, ids binary, weights binary"))
-    # every pack goes to every shard of blocks, a block being a row for ROWS vectors
+    packs = C.written(asked.mapInArrow(_packs(folder, scale), "pack string"))
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = index.select("block", "dims", F.pmod(F.xxhash64("block"), F.lit(shards)).alias("shard"))
-    asked_of = packs.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(blocks.select("shard").distinct(), "shard", "left_semi")
-    spread = asked_of.join(blocks, "shard").drop("shard").repartition(shards, "pack", "block")
+    spread = _met(packs, index.select("block", "dims"), shards).repartition(shards, "pack", "block").sortWithinPartitions("block", "pack")
     found = C.written(spread.mapInArrow(_search(folder, low, bits, k), "query_id long, vec_id long, score long"))
+    kind = "no long, ids array<long>, vectors array<array<double>>"
+
+    def exact(asked_aside: bool | None, rows_aside: bool) -> DataFrame:
+        """Outside the index: queries set aside, others or both (None), against vectors set aside or others."""
+        kinds = (True, False) if asked_aside is None else (asked_aside,)
+        sides = [asked.mapInArrow(_gathered(scale, x, PACK), kind) for x in kinds]
+        some = C.written((sides[0].union(sides[1]) if len(sides) == 2 else sides[0]).select(F.col("ids").alias("asked_ids"), F.col("vectors").alias("asked")))
+        rows = C.written(slim.mapInArrow(_gathered(scale, rows_aside, 256), kind))
+        return C.written(_met(some, rows, shards).repartition(shards, "no", "asked_ids").mapInArrow(_exact(scale, k), "query_id long, vec_id long, score long"))
+
+    if ends[0][2]:
+        found = found.union(exact(None, True))
+    if ends[1][2]:
+        found = found.union(exact(True, False))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -84,21 +84,27 @@ def test_one_id_with_two_texts_is_in_two_components(spark):
     assert got == [(1, 1, True), (4, 4, True), (5, 1, False), (5, 4, False), (5, 5, True), (7, 4, False), (9, 5, False)]
 
 
-def test_joining_large_universe_equals_matrix():
+def test_joining_is_exact():
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 400, 300).astype(np.uint64)) for _ in range(30)]
-    sig = near_dedup.signatures(sets)
-    rep = np.arange(30)
 
-    def groups(links):
-        root = list(range(30))
+    def groups(links, n):
+        root = list(range(n))
         for a, b in links:
             root = [root[a] if x == root[b] else x for x in root]
         return [root.index(x) for x in root]
 
-    every = np.ones(30, bool)
-    want = groups([(a, b) for a in range(30) for b in range(a) if near_dedup._linked(sets[a], sets[b], 40)])
-    assert groups(near_dedup.joining(rep, rep, every, sig, sets, 40, 0)) == want
+    sets = [np.unique(rng.integers(0, 400, 300).astype(np.uint64)) for _ in range(30)]
+    rep, every = np.arange(30), np.ones(30, bool)
+    want = groups([(a, b) for a in range(30) for b in range(a) if near_dedup._linked(sets[a], sets[b], 40)], 30)
+    assert groups(near_dedup.joining(rep, rep, every, sets, 40), 30) == want
+    # at exactly 0.85, and just below; no signature decides, nor the number of shared items beside
+    x = rng.integers(0, 1 << 62, 21).astype(np.uint64)
+    a, b, less = np.sort(x[:20]), np.sort(x[:17]), np.sort(np.concatenate((x[:17], x[20:])))
+    for more in (0, 600):
+        other = [np.arange(1, 9000, dtype=np.uint64) * np.uint64(k % 2 + 1) for k in range(more)]
+        n = more + 2
+        assert near_dedup.joining(np.arange(n), np.arange(n), np.arange(n) < 1, [a, b, *other], 85) == [(0, 1)]
+        assert near_dedup.joining(np.arange(n), np.arange(n), np.arange(n) < 1, [a, less, *other], 85) == []
 
 
 def windows_brute(rows, items, size=13):
@@ -212,12 +218,22 @@ def test_top_k(spark):
     for q, w in asked.items():
         want = sorted((-sum(a * b for a, b in zip(w, v, strict=False)), k) for k, v in good if k != q)[:20]
         assert [(s, k) for _, k, s in sorted(got[q])] == [(-s, k) for s, k in want]
-    with pytest.raises(Exception, match="too large"):
-        top_k(spark.createDataFrame([(1, [1e12]), (20, [1.0])], "vec_id long, embedding array<double>"), d.filter("vec_id = 20").select("vec_id", "embedding")).count()
     few = d.filter("vec_id < 3")
     assert top_k(few, few.filter("vec_id = 0")).count() == 2 and top_k(few.filter("false"), few).count() == 0
 
 
+def test_top_k_of_odd_vectors(spark):
+    kind = "vec_id long, embedding array<double>"
+    empty = spark.createDataFrame([(20, []), (1, [])], kind)
+    assert [tuple(r) for r in top_k(empty, empty.filter("vec_id = 20")).collect()] == [(20, 1, 1, 0)]
+    rows = [(k, [float(k % 7), -1.0, k / 8]) for k in range(50)] + [(60, [4e4, 1.0, 0.5]), (61, [-4e4, 2.0]), (80, [1e12, 1.0]), (81, [1e300, 1e300]), (100, []), (101, [math.inf])]
+    d = spark.createDataFrame(rows, kind).repartition(3)
+    whole = {k: [math.floor(64 * x) for x in v] for k, v in rows if all(map(math.isfinite, v))}
+    for q, group in __import__("itertools").groupby(top_k(d, d.filter("vec_id % 20 = 0"), k=6).orderBy("query_id", "rank").collect(), key=lambda r: r.query_id):
+        score = {k: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], v)))) for k, v in whole.items() if k != q}
+        assert [(r.vec_id, r.score) for r in group] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:6]
+
+
 def test_language(spark):
     rng = random.Random(7)
     say = {"aa": "abcde", "bb": "vwxyz", "cc": "абвгд"}
