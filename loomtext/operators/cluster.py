@@ -32,15 +32,27 @@ def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return out.select(key, F.transform("_v", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).alias("embedding"))
 
 
-def aspect_features(values: DataFrame, key: str, n_jobs: int, min_coverage: float = 0.05) -> DataFrame | None:
-    """(key, embedding): a binary vector over the distinct values; None with under two values, or too few jobs that have any."""
-    distinct = [r[0] for r in values.select("value").distinct().orderBy("value").limit(10_001).collect()]
-    if len(distinct) > 10_000:
-        raise ValueError("an aspect of more than 10,000 values is no feature set")
-    if len(distinct) < 2 or values.select(key).distinct().count() < max(2, min_coverage * n_jobs):
+#: Dimensions of aspect features, at most: the driver holds their squared Gram matrix.
+FEATURES = 1024
+
+
+def aspect_features(values: DataFrame, key: str, n_jobs: int, min_coverage: float = 0.05, most: int = FEATURES) -> DataFrame | None:
+    """(key, embedding): a binary vector over the distinct values; None with under two values, or too few jobs that have any.
+
+    Up to ``most`` values have a dimension each, in the order of values. Of more, each goes to the dimension that its
+    hash names, which several share; a job's vector then has the number of its values there.
+    """
+    values = written(values.select(key, "value").filter("value is not null").distinct())
+    distinct = values.select("value").distinct()
+    n, have = distinct.count(), values.select(key).distinct().count()
+    if n < 2 or have < max(2, min_coverage * n_jobs):
         return None
-    have = values.groupBy(key).agg(F.collect_set("value").alias("_v"))
-    return have.select(key, F.transform(F.array(*map(F.lit, distinct)), lambda x: F.array_contains("_v", x).cast("double")).alias("embedding"))
+    if n <= most:
+        placed = values.join(numbered(distinct, ["value"], "_at"), "value").select(key, F.col("_at").cast("int").alias("_at"))
+    else:
+        placed = values.select(key, F.pmod(F.xxhash64("value"), F.lit(most)).cast("int").alias("_at"))
+    counts = placed.groupBy(key, "_at").agg(F.count("*").cast("double").alias("_c")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_c"))).alias("_m"))
+    return counts.select(key, F.transform(F.sequence(F.lit(0), F.lit(min(n, most) - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("embedding"))
 
 
 def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

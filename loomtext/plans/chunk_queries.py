@@ -12,7 +12,7 @@ from ..operators import context as X
 from .ngram_queries import grams_sql
 from .registry import query
 from .search_queries import BM25_SQL
-from .search_queries import _bm as bm25_of
+from .search_queries import _top as best_of
 from .tables import table
 from .text_queries import line_sql
 
@@ -204,9 +204,7 @@ SELECT query_id, string_agg(p, chr(10) || chr(10) ORDER BY rank) AS context, cou
 def _register_context(tier: int) -> None:
     @query(f"v{tier + 1}_context", _context_sql(tier))
     def run(spark: SparkSession, d: str) -> DataFrame:
-        from ..operators.search import best
-
-        top = best(bm25_of(spark, d), "query_id", "doc_id", "bm25", X.TIERS[tier][0]).join(_docs(spark, d), "doc_id")
+        top = best_of(spark, d, X.TIERS[tier][0]).join(_docs(spark, d), "doc_id")
         part = X.block(tier, F.col("rank"), F.left("text", F.lit(20)), F.col("source"), F.col("text"), F.col("lang"))
         return X.context(top, tier, "query_id", "rank", part)
 
@@ -217,8 +215,6 @@ for _tier in (1, 2, 3):
 
 @query("v1_summary_context", f"WITH {BM25_SQL}, b AS (SELECT query_id, rank, '- ' || left(text, 20) || ' @ ' || source || ' | lang: ' || lang || ' | kw: a, b' AS p FROM bmr JOIN documents USING (doc_id) WHERE rank <= 50), c AS (SELECT *, sum(len(p) // 4 + 1) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cost FROM b) SELECT query_id, string_agg(p, chr(10) ORDER BY rank) AS context, count(*) AS n_used FROM c WHERE cost <= 4000 GROUP BY query_id")
 def v1(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.search import best
-
-    top = best(bm25_of(spark, d), "query_id", "doc_id", "bm25", 50).join(_docs(spark, d), "doc_id")
+    top = best_of(spark, d, 50).join(_docs(spark, d), "doc_id")
     line = T.summary_line(F.left("text", F.lit(20)), F.col("source"), F.create_map(F.lit("lang"), F.array("lang")), F.array(F.lit("a"), F.lit("b")))
     return X.context(top, 0, "query_id", "rank", line)

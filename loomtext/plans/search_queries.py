@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
+from ..operators import index as I
 from ..operators import search as S
 from .registry import query
 from .tables import table
@@ -32,19 +33,33 @@ bm AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0
 bmr AS (SELECT query_id, doc_id, round(bm25, 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM bm)"""
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> I.Index:
+    """The documents' index: built by the session's first search, read by the others."""
+    known = (spark.sparkContext.applicationId, d)
+    if known not in _BUILT:
+        _BUILT[known] = I.build(_docs(spark, d), "doc_id", "text")
+    return I.opened(spark, _BUILT[known], "doc_id")
+
+
 def _bm(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(_asked(spark, d), _docs(spark, d), "doc_id", "text")
+    return I.scores(_index(spark, d), _asked(spark, d))
+
+
+def _top(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return I.top(_index(spark, d), _asked(spark, d), k)
 
 
 @query("r1_term_statistics", f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def r1(spark: SparkSession, d: str) -> DataFrame:
-    posted, lengths = S.postings(_docs(spark, d), "doc_id", "text"), S.document_lengths(_docs(spark, d), "doc_id", "text")
-    return S.term_statistics(posted, lengths).select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("r1_postings", f"WITH {BM25_SQL} SELECT term, doc_id, tf, dl FROM post JOIN dl USING (doc_id)")
 def r1_postings(spark: SparkSession, d: str) -> DataFrame:
-    return S.postings(_docs(spark, d), "doc_id", "text").join(S.document_lengths(_docs(spark, d), "doc_id", "text"), "doc_id")
+    return I.postings(_index(spark, d))
 
 
 @query("r2_bm25", f"WITH {BM25_SQL} SELECT query_id, doc_id, round(bm25, 5) AS bm25 FROM bm")
@@ -54,7 +69,7 @@ def r2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r7_search_documents", f"WITH {BM25_SQL} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(bm25, 5) AS bm25, left(text, 200) AS snippet FROM bmr JOIN documents USING (doc_id) WHERE rank <= 10")
 def r7(spark: SparkSession, d: str) -> DataFrame:
-    top = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 10)
+    top = _top(spark, d, 10)
     return top.join(_docs(spark, d), "doc_id").select("query_id", "doc_id", "rank", F.round("bm25", 5).alias("bm25"), T.snippet(F.col("text"), 200).alias("snippet"))
 
 
@@ -63,15 +78,15 @@ dot AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_dot_product(a.embe
 vr AS (SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM dot)"""
 
 
-def _vec(spark: SparkSession, d: str) -> DataFrame:
+def _near(spark: SparkSession, d: str, k: int, other_only: bool = False) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"))
-    return S.inner_products(asked, v, "query_id", "qv", "doc_id", "embedding")
+    return S.nearest(asked, v, "query_id", "qv", "doc_id", "embedding", k, other_only)
 
 
 @query("r3_vector_search", f"WITH {VEC_SQL} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM vr WHERE rank <= 12")
 def r3(spark: SparkSession, d: str) -> DataFrame:
-    return S.best(_vec(spark, d), "query_id", "doc_id", "score", 12).withColumn("score", F.round("score", 6))
+    return _near(spark, d, 12).withColumn("score", F.round("score", 6))
 
 
 def hybrid_sql(alpha: float) -> str:
@@ -82,8 +97,8 @@ hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def _hybrid(spark: SparkSession, d: str, alpha: float) -> DataFrame:
-    v = S.best(_vec(spark, d), "query_id", "doc_id", "score", 12)
-    b = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 12)
+    v = _near(spark, d, 12)
+    b = _top(spark, d, 12)
     return S.hybrid(v, b, "query_id", "doc_id", alpha, 12).withColumn("score", F.round("score", 6))
 
 
@@ -99,8 +114,8 @@ _register_hybrid("r4_hybrid_search", 0.55)
 @query("r7_best_chunk_per_job", f"{hybrid_sql(0.55)}, one AS (SELECT query_id, doc_id, source, rank AS r FROM hr JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) = 1) SELECT query_id, source, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM one QUALIFY rank <= 8")
 def r7_jobs(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid candidates, the best chunk (document) of each job (source), the first 8 jobs of each query."""
-    v = S.best(_vec(spark, d), "query_id", "doc_id", "score", 12)
-    b = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 12)
+    v = _near(spark, d, 12)
+    b = _top(spark, d, 12)
     mixed = S.hybrid(v, b, "query_id", "doc_id", 0.55, 24).join(_docs(spark, d).select("doc_id", "source"), "doc_id")
     return S.best_per_job(mixed, "query_id", "source", 8).select("query_id", "source", "doc_id", "rank")
 
@@ -111,8 +126,8 @@ _register_hybrid("r5_keyword_search", 0.0)
 
 @query("u1_candidate_union", f"WITH {BM25_SQL}, {VEC_SQL} SELECT query_id, doc_id FROM vr WHERE rank <= 12 UNION SELECT query_id, doc_id FROM bmr WHERE rank <= 12")
 def u1_j3(spark: SparkSession, d: str) -> DataFrame:
-    v = S.best(_vec(spark, d), "query_id", "doc_id", "score", 12).select("query_id", "doc_id")
-    return v.union(S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 12).select("query_id", "doc_id")).distinct()
+    v = _near(spark, d, 12).select("query_id", "doc_id")
+    return v.union(_top(spark, d, 12).select("query_id", "doc_id")).distinct()
 
 
 @query("r6_filtered_search", f"WITH {BM25_SQL}, f AS (SELECT query_id, doc_id, round(bm25, 9) AS s FROM bm JOIN documents USING (doc_id) WHERE lang = 'fr'), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
@@ -146,28 +161,28 @@ def r9_j11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r10_similar_vectors", f"WITH {VEC_SQL}, o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM dot WHERE doc_id <> query_id) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 5")
 def r10(spark: SparkSession, d: str) -> DataFrame:
-    return S.best(_vec(spark, d).filter("doc_id <> query_id"), "query_id", "doc_id", "score", 5).select("query_id", "doc_id", "rank")
+    return _near(spark, d, 5, other_only=True).select("query_id", "doc_id", "rank")
 
 
 @query("r10_similar_jobs", f"WITH {VEC_SQL}, o AS (SELECT query_id, dot.doc_id, d.source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, dot.doc_id) AS r FROM dot JOIN documents d ON d.doc_id = dot.doc_id JOIN documents q ON q.doc_id = query_id WHERE d.source IS DISTINCT FROM q.source), one AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY r) = 1) SELECT query_id, source, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM one QUALIFY rank <= 5")
 def r10_jobs(spark: SparkSession, d: str) -> DataFrame:
     """The jobs (sources) most like each query's, its own left out, each once by its best row."""
     jobs = _docs(spark, d).select("doc_id", "source")
-    met = _vec(spark, d).join(jobs, "doc_id").join(jobs.select(F.col("doc_id").alias("query_id"), F.col("source").alias("own")), "query_id")
-    tops = S.first_per(met.filter(~F.col("source").eqNullSafe(F.col("own"))).withColumn("score", F.round("score", S.DIGITS)), ["query_id", "source"], [F.desc("score"), "doc_id"])
-    return S.best(tops, "query_id", "doc_id", "score", 5).select("query_id", "source", "doc_id", "rank")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(jobs, "doc_id")
+    asked = v.join(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("source").alias("own"))
+    return S.nearest_groups(asked, v, "query_id", "qv", "doc_id", "embedding", "source", "own", 5).select("query_id", "source", "doc_id", "rank")
 
 
 @query("r14_result_lists", f"WITH {BM25_SQL} SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS ids, string_agg('- ' || doc_id || ' @ ' || source, chr(10) ORDER BY rank) AS lines FROM bmr JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY query_id")
 def r14(spark: SparkSession, d: str) -> DataFrame:
-    top = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 8).join(_docs(spark, d), "doc_id")
+    top = _top(spark, d, 8).join(_docs(spark, d), "doc_id")
     rows = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("- "), "doc_id", F.lit(" @ "), "source").alias("line"))))
     return top.groupBy("query_id").agg(rows.alias("r")).select("query_id", F.array_join("r.id", ",").alias("ids"), F.array_join("r.line", "\n").alias("lines"))
 
 
 @query("r15_citation_answers", f"WITH {BM25_SQL} SELECT query_id, string_agg('[' || rank || '] ' || source || ': ' || left(text, 300), chr(10) ORDER BY rank) AS answer FROM bmr JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY query_id")
 def r15(spark: SparkSession, d: str) -> DataFrame:
-    top = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 5).join(_docs(spark, d), "doc_id")
+    top = _top(spark, d, 5).join(_docs(spark, d), "doc_id")
     return S.citation_lines(top, "query_id", "rank", F.col("source"), F.col("text"))
 
 
@@ -182,20 +197,20 @@ CONTENT_SQL = f"""WITH {BM25_SQL}, c AS (SELECT query_id, doc_id, rank, md5(lowe
 
 @query("w2_distinct_contents", f"{CONTENT_SQL} SELECT cid, min(doc_id) AS doc_id, array_to_string(list_sort(list_distinct(list(query_id))), ',') AS matched FROM c GROUP BY cid")
 def w2_u4(spark: SparkSession, d: str) -> DataFrame:
-    top = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 20).join(_docs(spark, d), "doc_id").withColumn("cid", F.md5(T.matching_form(F.col("text"))))
+    top = _top(spark, d, 20).join(_docs(spark, d), "doc_id").withColumn("cid", F.md5(T.matching_form(F.col("text"))))
     out = S.merged_by_content(top.select("cid", "doc_id", "query_id"), "cid", "doc_id", "query_id")
     return out.select("cid", "doc_id", F.array_join("matched_queries", ",").alias("matched"))
 
 
 @query("w3_budgeted_results", f"WITH {BM25_SQL}, c AS (SELECT query_id, doc_id, rank, sum(len(left(text, 500)) // 4 + 1) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running_cost FROM bmr JOIN documents USING (doc_id) WHERE rank <= 50) SELECT query_id, doc_id, CAST(running_cost AS BIGINT) AS running_cost FROM c WHERE running_cost <= 4000")
 def w3(spark: SparkSession, d: str) -> DataFrame:
-    top = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 50).join(_docs(spark, d), "doc_id")
+    top = _top(spark, d, 50).join(_docs(spark, d), "doc_id")
     return S.within_budget(top, "query_id", "rank", T.token_estimate(T.snippet(F.col("text"), 500)), 4000).select("query_id", "doc_id", "running_cost")
 
 
 @query("w4_character_budget", f"WITH {BM25_SQL}, c AS (SELECT query_id, doc_id, rank, sum(len(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS running_cost FROM bmr JOIN documents USING (doc_id) WHERE rank <= 20) SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS used FROM c WHERE running_cost <= 12000 OR rank = 1 GROUP BY query_id")
 def w4(spark: SparkSession, d: str) -> DataFrame:
-    top = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 20).join(_docs(spark, d), "doc_id")
+    top = _top(spark, d, 20).join(_docs(spark, d), "doc_id")
     used = S.within_budget(top, "query_id", "rank", F.length("text"), 12000, keep_first=True)
     ids = F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"))))
     return used.groupBy("query_id").agg(ids.alias("r")).select("query_id", F.array_join("r.id", ",").alias("used"))
@@ -203,14 +218,14 @@ def w4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t5_reranked", f"WITH {BM25_SQL}, r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC NULLS LAST, rank) AS rank FROM bmr LEFT JOIN labels USING (doc_id) WHERE rank <= 20) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def t5(spark: SparkSession, d: str) -> DataFrame:
-    top = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 20)
+    top = _top(spark, d, 20)
     scores = top.select("query_id", "doc_id").join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("relevance")), "doc_id")
     return S.reranked(top, scores, "query_id", "doc_id", 5).select("query_id", "doc_id", "rank")
 
 
 @query("j6_expanded_jobs", f"WITH {BM25_SQL}, seeds AS (SELECT source, min(rank) AS job_rank FROM bmr JOIN documents USING (doc_id) WHERE query_id = 0 AND rank <= 3 GROUP BY source), m AS (SELECT source, doc_id, row_number() OVER (PARTITION BY md5(lower({line_sql('text')})) ORDER BY job_rank, doc_id) AS n FROM documents JOIN seeds USING (source)) SELECT source, doc_id FROM m WHERE n = 1")
 def j6(spark: SparkSession, d: str) -> DataFrame:
-    seeds = S.best(_bm(spark, d), "query_id", "doc_id", "bm25", 3).filter("query_id = 0").join(_docs(spark, d).select("doc_id", "source"), "doc_id")
+    seeds = _top(spark, d, 3).filter("query_id = 0").join(_docs(spark, d).select("doc_id", "source"), "doc_id")
     chunks = _docs(spark, d).withColumn("cid", F.md5(T.matching_form(F.col("text"))))
     return S.expanded(seeds.select("source", "rank"), chunks, "source", "rank", "doc_id", "cid").select("source", "doc_id")
 

@@ -171,6 +171,11 @@ def test_projection_is_the_leading_plane(spark):
     got = K.projected(df, "v", base).filter("k = 5").first()
     assert abs(got.x - 5 * 5**0.5) < 1e-9 and got.y == 0
     assert K.aspect_features(spark.createDataFrame([(1, "a"), (2, "a")], "k long, value string"), "k", 2) is None
+    many = spark.createDataFrame([(k, f"v{j:02d}") for k in range(6) for j in range(k, k + 9)] + [(0, None), (1, "v01")], "k long, value string")
+    wide = {r.k: list(r.embedding) for r in K.aspect_features(many, "k", 6).collect()}
+    assert wide == {k: [float(k <= j < k + 9) for j in range(14)] for k in range(6)}
+    hashed = {r.k: list(r.embedding) for r in K.aspect_features(many, "k", 6, most=4).collect()}
+    assert all(len(v) == 4 and sum(v) == 9 for v in hashed.values())
 
 
 def test_languages_by_function_words(spark):
