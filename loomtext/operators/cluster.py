@@ -48,7 +48,7 @@ def aspect_features(values: DataFrame, key: str, n_jobs: int, min_coverage: floa
     if n < 2 or have < max(2, min_coverage * n_jobs):
         return None
     if n <= most:
-        placed = values.join(numbered(distinct, ["value"], "_at"), "value").select(key, F.col("_at").cast("int").alias("_at"))
+        placed = values.join(numbered(distinct, ["value"], "_place"), "value").select(key, F.col("_place").cast("int").alias("_at"))
     else:
         placed = values.select(key, F.pmod(F.xxhash64("value"), F.lit(most)).cast("int").alias("_at"))
     counts = placed.groupBy(key, "_at").agg(F.count("*").cast("double").alias("_c")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_c"))).alias("_m"))
