@@ -208,11 +208,13 @@ def section_chunks(rows: DataFrame, key: str, section: str | None, limit: int =
 def details(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_chunks, chunks, full_text, sections): a document's chunks in order, its text without overlaps, and that text's sections.
 
-    The arrays hold one document's own pieces.
+    The arrays hold one document's own pieces. A document without a chunk has none: 0, empty arrays and ''.
     """
     rows = chunks(docs, key, text)
     ordered = F.array_sort(F.collect_list(F.struct("order", "section", "text")))
     per = rows.groupBy(key).agg(F.count("*").alias("n_chunks"), ordered.alias("chunks"))
     whole = without_overlap(rows, key, "order", "text")
     own = sections(whole, key, "full_text", "structural").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_line", F.coalesce("name", F.lit("intro")).alias("name"), "text"))).alias("sections"))
-    return docs.join(per, key).join(whole, key).join(own, key, "left")
+    kinds = {c: t for df in (per, own) for c, t in df.dtypes if c in ("chunks", "sections")}
+    met = docs.join(per, key, "left").join(whole, key, "left").join(own, key, "left")
+    return met.withColumns({"n_chunks": F.coalesce("n_chunks", F.lit(0).cast("long")), "full_text": F.coalesce("full_text", F.lit("")), **{c: F.coalesce(c, F.array().cast(t)) for c, t in kinds.items()}})

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import aspects as A
 from ..operators import chunking as C
 from ..operators import context as X
+from .chunk_sql import chunks_sql, sections_sql, whole_sql
 from .ngram_queries import grams_sql
 from .registry import query
 from .search_queries import BM25_SQL
@@ -39,12 +40,29 @@ def x3(spark: SparkSession, d: str) -> DataFrame:
     return C.header_lines(C.lines(_docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "pos", "score")
 
 
-@query("x1_sections", f"SELECT doc_id, array_to_string({SOFT_SQL}, chr(10)) AS text, CAST(0 AS INTEGER) AS start_line, CAST(len({SOFT_SQL}) - 1 AS INTEGER) AS end_line FROM documents WHERE len({SOFT_SQL}) > 0")
+@query("x1_sections", f"WITH {sections_sql('documents')} SELECT doc_id, text, start_line, end_line FROM sec")
 def x1(spark: SparkSession, d: str) -> DataFrame:
     return C.sections(_docs(spark, d), "doc_id", "text").select("doc_id", "text", "start_line", "end_line")
 
 
-@query("x6_structural_sections", None)
+#: Documents with two small headers put in, the second with bullets below.
+_HEADED = "text || char(10) || 'Requirements:' || char(10) || text || char(10) || 'BENEFITS' || char(10) || '- ' || source || ' and pension' || char(10) || '- a long enough ' || lang"
+_HEADED_SQL = f"hd AS (SELECT doc_id, {_HEADED.replace('char(10)', 'chr(10)')} AS text FROM documents)"
+
+
+@query("x1_headed_sections", f"WITH {_HEADED_SQL}, {sections_sql('hd')} SELECT doc_id, name, raw_name, text, start_line, end_line FROM sec")
+def x1_headed(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d).select("doc_id", F.expr(_HEADED).alias("text"))
+    return C.sections(docs, "doc_id", "text").drop("section_no")
+
+
+@query("x11_headed_chunks", f"WITH {_HEADED_SQL}, {chunks_sql('hd')} SELECT * FROM ch")
+def x11_headed(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of documents with headers and bullets."""
+    return C.chunks(_docs(spark, d).select("doc_id", F.expr(_HEADED).alias("text")), "doc_id", "text")
+
+
+@query("x6_structural_sections", f"WITH {sections_sql('documents', 'structural')} SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, name, raw_name, text, start_line, end_line FROM sec")
 def x2_x6(spark: SparkSession, d: str) -> DataFrame:
     return C.sections(_docs(spark, d), "doc_id", "text", "structural")
 
@@ -54,7 +72,7 @@ def x7(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("x11_chunks", None)
+@query("x11_chunks", f"WITH {chunks_sql('documents')} SELECT * FROM ch")
 def x8_x11(spark: SparkSession, d: str) -> DataFrame:
     return C.chunks(_docs(spark, d), "doc_id", "text")
 
@@ -70,7 +88,7 @@ def x11_metadata(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "order", "chunk_id", "meta.source", "meta.lang", "meta.language")
 
 
-@query("x12_structural_chunks", None)
+@query("x12_structural_chunks", f"WITH {chunks_sql('documents', 'structural')} SELECT * FROM ch")
 def x12(spark: SparkSession, d: str) -> DataFrame:
     return C.chunks(_docs(spark, d), "doc_id", "text", "structural")
 
@@ -95,13 +113,13 @@ def c12(spark: SparkSession, d: str) -> DataFrame:
     return C.without_overlap(rows, "doc_id", "order", "text")
 
 
-@query("x13_reassembled_sections", None)
+@query("x13_reassembled_sections", f"WITH {chunks_sql('documents')}, {whole_sql('ch', 160)}, {sections_sql('whole', 'structural')} SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, coalesce(name, 'intro') AS name, raw_name, text, start_line, end_line FROM sec")
 def x13(spark: SparkSession, d: str) -> DataFrame:
     whole = C.without_overlap(C.chunks(_docs(spark, d), "doc_id", "text"), "doc_id", "order", "text", 160)
     return C.sections(whole, "doc_id", "full_text", "structural").withColumn("name", F.coalesce("name", F.lit("intro")))
 
 
-@query("r13_job_details", None)
+@query("r13_job_details", f"WITH {chunks_sql('documents')}, {whole_sql('ch', 250)}, {sections_sql('whole', 'structural')}, n AS (SELECT doc_id, count(*) AS n FROM ch GROUP BY doc_id), k AS (SELECT doc_id, count(*) AS k FROM sec GROUP BY doc_id) SELECT doc_id, lang, source, coalesce(n, 0) AS n_chunks, CAST(coalesce(k, 0) AS INTEGER) AS n_sections, md5(coalesce(whole.text, '')) AS text_md5 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN whole USING (doc_id)")
 def r13(spark: SparkSession, d: str) -> DataFrame:
     out = C.details(_docs(spark, d), "doc_id", "text")
     return out.select("doc_id", "lang", "source", "n_chunks", F.size("sections").alias("n_sections"), F.md5("full_text").alias("text_md5"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster as K
+from ..operators import layout as L
+from ..operators import outlines as O
 from ..operators import tfidf as W
 from .registry import query
 from .tables import table
@@ -120,6 +122,44 @@ def k8_sub(spark: SparkSession, d: str) -> DataFrame:
     return K.sub_clusters(_plane(spark, d)).select("vec_id", "cluster_id", "sub_id")
 
 
+_LAYOUT = f"""WITH RECURSIVE {PLANE_SQL}, span AS (SELECT max(x) - min(x) AS sx, max(y) - min(y) AS sy FROM p),
+l AS (SELECT vec_id, CAST(abs(cluster_id) % 2 AS INTEGER) AS level, 'vector ' || vec_id AS text, x, y, CAST(vec_id % 7 AS DOUBLE) AS priority FROM p),
+b AS (SELECT level, vec_id, x - 0.5 * 0.011 * sx * len(text) AS x0, x + 0.5 * 0.011 * sx * len(text) AS x1, y - 0.5 * 0.025 * sy AS y0, y + 0.5 * 0.025 * sy AS y1, 0.004 * greatest(sx, sy) AS room,
+       row_number() OVER (PARTITION BY level ORDER BY priority DESC, text, x, y) AS n FROM l, span),
+walk AS (
+  SELECT level, 0 AS n, []::STRUCT(vec_id BIGINT, x0 DOUBLE, x1 DOUBLE, y0 DOUBLE, y1 DOUBLE)[] AS kept FROM (SELECT DISTINCT level FROM b)
+  UNION ALL
+  SELECT w.level, w.n + 1, CASE WHEN len(list_filter(kept, lambda k: NOT (b.x1 + room < k.x0 OR k.x1 + room < b.x0 OR b.y1 + room < k.y0 OR k.y1 + room < b.y0))) > 0 THEN kept
+         ELSE list_append(kept, {{'vec_id': b.vec_id, 'x0': b.x0, 'x1': b.x1, 'y0': b.y0, 'y1': b.y1}}) END
+  FROM walk w JOIN b ON w.level = b.level AND b.n = w.n + 1
+), done AS (SELECT level, unnest(kept).vec_id AS vec_id FROM (SELECT level, arg_max(kept, n) AS kept FROM walk GROUP BY level))
+SELECT vec_id, level, text FROM done JOIN l USING (vec_id, level)"""
+
+
+@query("k8_label_layout", _LAYOUT)
+def k8_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors as labels of two levels, those that can be shown."""
+    p = _plane(spark, d)
+    span = p.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    labels = p.select("vec_id", F.pmod(F.abs("cluster_id"), F.lit(2)).cast("int").alias("level"), F.concat(F.lit("vector "), "vec_id").alias("text"), "x", "y", (F.col("vec_id") % 7).cast("double").alias("priority"))
+    return L.without_overlaps(labels, *[float(s or 0.0) for s in span]).select("vec_id", "level", "text")
+
+
+@query("k8_two_level_labels", None)
+def k8_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of the vectors' clusters and of their parts, by the documents of the same number."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    points = K.sub_clusters(_plane(spark, d)).join(docs, "vec_id")
+    names = W.class_tfidf(points, "cluster_id", "text", 3).groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("label"))
+    return L.two_level_labels(points, names, "text").withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
+@query("k9_outlines", None)
+def k9_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Concave outlines of the vectors' clusters."""
+    return O.outlines(_plane(spark, d)).select("cluster_id", F.size("path").alias("corners"), F.to_json("path").alias("path"))
+
+
 @query("k9_hulls", None)
 def k9(spark: SparkSession, d: str) -> DataFrame:
     return K.hulls(_plane(spark, d)).select("cluster_id", F.size("path").alias("corners"), F.to_json("path").alias("path"))

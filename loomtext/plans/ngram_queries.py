@@ -11,7 +11,7 @@ from ..operators import tfidf as K
 from ..operators.matching import term_hits
 from .registry import query
 from .tables import table
-from .text_queries import NGRAM_FORM, STOP
+from .text_queries import KEYWORD_TOKENS, NGRAM_FORM, STOP
 
 
 def _docs(spark: SparkSession, d: str, c: str = "true") -> DataFrame:
@@ -50,7 +50,21 @@ mi AS (SELECT g.*, log2(frequency / total) - lw AS mi FROM grams g JOIN logs USI
 scored AS (SELECT *, mi / -log2(frequency / total) AS npmi FROM mi)"""
 
 
-@query("m3_mutual_information", f"WITH {MI_SQL} SELECT ngram, ngram_length, frequency, document_frequency, total, round(mi, 6) AS mi, round(npmi, 6) AS npmi FROM scored")
+#: As MI_SQL, but n-grams with a word of under 5 occurrences, which cannot have 5 themselves, aren't built.
+_M3 = f"""WITH tok AS (SELECT doc_id, list_filter(string_split({NGRAM_FORM}, ' '), lambda t: t <> '') AS t FROM documents),
+pos AS MATERIALIZED (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM tok),
+uni AS MATERIALIZED (SELECT word, count(*) AS f, (SELECT count(*) FROM pos) AS words FROM pos GROUP BY word),
+p AS (SELECT doc_id, word AS w1, f AS f1, lead(word) OVER d AS w2, lead(f) OVER d AS f2, lead(word, 2) OVER d AS w3, lead(f, 2) OVER d AS f3, log2(f / words) AS l1, log2(lead(f) OVER d / words) AS l2, log2(lead(f, 2) OVER d / words) AS l3 FROM pos JOIN uni USING (word) WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+per AS (
+  SELECT w1 || ' ' || w2 AS ngram, 2 AS ngram_length, doc_id, count(*) AS tf, any_value(l1 + l2) AS lw FROM p WHERE least(f1, f2) >= 5 AND w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT w1 || ' ' || w2 || ' ' || w3, 3, doc_id, count(*), any_value(l1 + l2 + l3) FROM p WHERE least(f1, f2, f3) >= 5 AND w3 IS NOT NULL GROUP BY ALL),
+sums AS (SELECT ngram, ngram_length, CAST(sum(tf) AS BIGINT) AS frequency, count(*) AS document_frequency, any_value(lw) AS lw FROM per GROUP BY ngram, ngram_length HAVING sum(tf) >= 5),
+tot AS (SELECT n AS ngram_length, CAST(sum(greatest(0, len(t) - n + 1)) AS BIGINT) AS total FROM tok, (VALUES (2), (3)) AS v(n) GROUP BY n),
+mi AS (SELECT *, log2(frequency / total) - lw AS mi FROM sums JOIN tot USING (ngram_length))
+SELECT ngram, CAST(ngram_length AS INTEGER) AS ngram_length, frequency, document_frequency, total, round(mi, 6) AS mi, round(mi / -log2(frequency / total), 6) AS npmi FROM mi"""
+
+
+@query("m3_mutual_information", _M3)
 def m1_m3(spark: SparkSession, d: str) -> DataFrame:
     return N.mutual_information(_docs(spark, d), "doc_id", "text").withColumns({c: F.round(c, 6) for c in ("mi", "npmi")})
 
@@ -106,7 +120,13 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
     return N.whitelist(scored.select("ngram"), scored.select("ngram", F.round("npmi", 9).alias("npmi"), F.lit(0.0).alias("effect_size")), (0.1, 1.0), (0.0, 1.0))
 
 
-@query("g8_frequency_keywords")
+_G8 = f"""WITH t AS (SELECT doc_id, {KEYWORD_TOKENS} AS t FROM documents),
+f AS (SELECT doc_id, t[i] AS term, i, len(t) AS total FROM t, unnest(range(1, len(t) + 1)) AS s(i)),
+c AS (SELECT doc_id, term, count(*) AS n, min(i) AS first, any_value(total) AS total FROM f GROUP BY ALL)
+SELECT doc_id, term, round(n / total, 4) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS INTEGER) AS rank FROM c QUALIFY rank <= 10"""
+
+
+@query("g8_frequency_keywords", _G8)
 def g8(spark: SparkSession, d: str) -> DataFrame:
     return K.frequency_keywords(_docs(spark, d), "doc_id", "text").withColumn("score", F.round("score", 4))
 

@@ -62,7 +62,11 @@ def c7(spark: SparkSession, d: str) -> DataFrame:
 
 
 STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
-@query("c9_keyword_tokens")
+#: Letters beyond ASCII become ``_``, which is no part of a token but of a word, so that RE2's word ends are those of all letters.
+KEYWORD_TOKENS = r"list_filter(regexp_extract_all(regexp_replace(regexp_replace(lower(text), '[^\x00-\x7F\p{L}\p{M}\p{N}\p{Pc}]', ' ', 'g'), '[^\x00-\x7F]', '_', 'g'), '\b[a-zA-Z][a-zA-Z0-9+#.\-]+\b'), lambda t: len(t) > 2 AND NOT list_contains(" + STOP + ", t))"
+
+
+@query("c9_keyword_tokens", f"SELECT doc_id, coalesce(array_to_string({KEYWORD_TOKENS}, ' '), '') AS tokens FROM documents")
 def c9(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(T.keyword_tokens(F.col("text")), " ").alias("tokens"))
 
