@@ -161,12 +161,23 @@ def chunks(docs: DataFrame, key: str, text: str, mode: str = "small", limit: int
     return rows.withColumns({"chunk_id": T.chunk_id(F.col(key), F.col("order")), "chunk_id_v2": T.content_id(F.col(key), F.col("text"))})
 
 
-def with_metadata(rows: DataFrame, docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+#: The fields of a chunk's metadata.
+META = ("title", "company", "days_old", "location", "sector", "contractType", "experienceLevel", "applyType", "workType", "salary", "jobUrl", "applyUrl", "applied_times", "language")
+
+
+def with_metadata(rows: DataFrame, docs: DataFrame, key: str, fields: tuple[str, ...] | list[str] = META) -> DataFrame:
     """Chunks with ``meta``, a struct of the document's ``fields``; a field that ``docs`` lacks is null."""
     some = [(F.col(f) if f in docs.columns else F.lit(None).cast("string")).alias(f) for f in fields]
     return rows.join(docs.select(key, F.struct(*some).alias("meta")), key)
 
 
+def with_aspects(rows: DataFrame, chunk: str, aspects: DataFrame) -> DataFrame:
+    """Chunks with ``aspects``: a map of each aspect to its values in order, of long aspects (chunk, aspect, value, pos); empty without any."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"])
+    per = aspects.groupBy(chunk, "aspect").agg(values.alias("_v")).groupBy(chunk).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("aspect", "_v")))).alias("aspects"))
+    return rows.join(per, chunk, "left").withColumn("aspects", F.coalesce("aspects", F.create_map().cast("map<string,array<string>>")))
+
+
 def without_overlap(rows: DataFrame, key: str, order: str, text: str, longest: int = 250) -> DataFrame:
     """(key, full_text): chunks in order, each without the start that repeats the end of the one before, blank lines between."""
     before = F.lag(text).over(Window.partitionBy(key).orderBy(order))

@@ -22,6 +22,17 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
 
+VOCAB_SQL = f"vocab AS (SELECT ngram AS term FROM ({'WITH ' + grams_sql(1, 2) + ' SELECT ngram FROM grams WHERE frequency * 10000 >= total AND len(ngram) > 4'}))"
+
+
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """The n-grams that are one in 10,000 or more of those of their length, at any size of the corpus."""
+    from ..operators.ngrams import corpus_ngrams
+
+    grams = corpus_ngrams(_docs(spark, d), "doc_id", "text", 1, 2).filter("frequency * 10000 >= total and length(ngram) > 4")
+    return grams.select(F.lit("skills").alias("aspect"), F.col("ngram").alias("term"))
+
+
 SOFT_SQL = "list_filter(list_transform(string_split(text, chr(10)), lambda x: " + line_sql("x") + "), lambda x: x <> '')"
 
 SCORE_SQL = f"""
@@ -79,13 +90,23 @@ def x8_x11(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x11_chunks_with_metadata", None)
 def x11_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with the document's fields and language."""
+    """Chunks with the 14 fields of their document's metadata; those that documents lack are null."""
     from ..operators.profiles import function_word_language
 
     docs = _docs(spark, d)
-    known = docs.join(function_word_language(docs, "doc_id", "text").withColumnRenamed("lang", "language"), "doc_id")
-    out = C.with_metadata(C.chunks(docs, "doc_id", "text"), known, "doc_id", ["source", "lang", "language"])
-    return out.select("doc_id", "order", "chunk_id", "meta.source", "meta.lang", "meta.language")
+    fields = docs.select("doc_id", F.get(T.soft_lines(F.col("text")), F.lit(0)).alias("title"), F.col("source").alias("company"), (F.col("doc_id") % 60).alias("days_old"), F.concat(F.lit("https://jobs.example/"), "doc_id").alias("jobUrl"))
+    known = fields.join(function_word_language(docs, "doc_id", "text").withColumnRenamed("lang", "language"), "doc_id")
+    out = C.with_metadata(C.chunks(docs, "doc_id", "text"), known, "doc_id")
+    return out.select("doc_id", "order", "chunk_id", *[F.col(f"meta.{f}").alias(f) for f in C.META])
+
+
+@query("x12_chunk_aspects", f"WITH {chunks_sql('documents', 'structural')}, {VOCAB_SQL}, h AS (SELECT chunk_id, string_agg(term, ',' ORDER BY term) AS v FROM ch JOIN vocab ON contains(lower(ch.text), term) GROUP BY chunk_id) SELECT doc_id, \"order\", section, coalesce(v, '') AS skills FROM ch LEFT JOIN h USING (chunk_id)")
+def x12_aspects(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by structure with the vocabulary's terms in each."""
+    rows = C.chunks(_docs(spark, d), "doc_id", "text", "structural")
+    hits = A.vocabulary_hits(rows, "chunk_id", "text", _vocabulary(spark, d), "substring").withColumn("pos", F.row_number().over(Window.partitionBy("chunk_id").orderBy("term")))
+    out = C.with_aspects(rows, "chunk_id", hits)
+    return out.select("doc_id", "order", "section", F.array_join(F.coalesce(F.try_element_at("aspects", F.lit("skills")), F.array().cast("array<string>")), ",").alias("skills"))
 
 
 @query("x12_structural_chunks", f"WITH {chunks_sql('documents', 'structural')} SELECT * FROM ch")
@@ -142,17 +163,6 @@ def f12(spark: SparkSession, d: str) -> DataFrame:
     return C.section_chunks(rows, "source", "DE").select("source", F.col("order").alias("doc_id"), "text")
 
 
-VOCAB_SQL = f"vocab AS (SELECT ngram AS term FROM ({'WITH ' + grams_sql(1, 2) + ' SELECT ngram FROM grams WHERE frequency * 10000 >= total AND len(ngram) > 4'}))"
-
-
-def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """The n-grams that are one in 10,000 or more of those of their length, at any size of the corpus."""
-    from ..operators.ngrams import corpus_ngrams
-
-    grams = corpus_ngrams(_docs(spark, d), "doc_id", "text", 1, 2).filter("frequency * 10000 >= total and length(ngram) > 4")
-    return grams.select(F.lit("skills").alias("aspect"), F.col("ngram").alias("term"))
-
-
 @query("a8_vocabulary_substrings", f"WITH {VOCAB_SQL} SELECT doc_id, term, CAST(instr(lower(text), term) AS INTEGER) AS pos FROM documents JOIN vocab ON contains(lower(text), term)")
 def a8(spark: SparkSession, d: str) -> DataFrame:
     return A.vocabulary_hits(_docs(spark, d), "doc_id", "text", _vocabulary(spark, d), "substring").select("doc_id", "term", "pos")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster as K
+from ..operators import density as D
 from ..operators import layout as L
 from ..operators import outlines as O
 from ..operators import tfidf as W
@@ -78,6 +79,12 @@ def k3(spark: SparkSession, d: str) -> DataFrame:
     return K.grid_density(_points(spark, d)).select("vec_id", "cluster_id")
 
 
+@query("k3_density_clusters", None)
+def k3_density(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of different densities in the projected vectors."""
+    return D.density_clusters(_points(spark, d), 10, 5).select("vec_id", "cluster_id")
+
+
 @query("k4_auto_kmeans", None)
 def k4(spark: SparkSession, d: str) -> DataFrame:
     return K.auto_kmeans(_points(spark, d), ["x", "y"], 50).select("vec_id", "cluster_id")

@@ -26,5 +26,5 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["r7_search_documents"](spark, sf_dir)
 
 
-for _name in ("text_queries", "ngram_queries", "search_queries", "chunk_queries", "cluster_queries", "label_queries", "name_queries"):
+for _name in ("text_queries", "ngram_queries", "search_queries", "chunk_queries", "cluster_queries", "label_queries", "name_queries", "job_queries"):
     importlib.import_module(f"loomtext.plans.{_name}")

@@ -22,15 +22,20 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
 
-BM25_SQL = f"""
-tk AS (SELECT doc_id, {SEARCH_TOKENS} AS t FROM documents),
-post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tk) GROUP BY ALL),
-dl AS (SELECT doc_id, len(t) AS dl FROM tk),
-raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df, (SELECT count(*) FROM documents) AS n FROM post GROUP BY term)),
+def bm25_sql(rows: str = "documents", key: str = "doc_id", asked: str = "SELECT item_id AS query_id, text FROM benchmark") -> str:
+    """CTEs up to bmr (query_id, ``key``, bm25, rank), of ``rows`` (``key``, text) and the queries ``asked``."""
+    return f"""
+tk AS (SELECT {key}, {SEARCH_TOKENS} AS t FROM {rows}),
+post AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(t) AS term FROM tk) GROUP BY ALL),
+dl AS (SELECT {key}, len(t) AS dl FROM tk),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df, (SELECT count(*) FROM {rows}) AS n FROM post GROUP BY term)),
 stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({SEARCH_TOKENS}) AS term FROM benchmark) GROUP BY ALL),
-bm AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))) AS bm25 FROM q JOIN stats USING (term) JOIN post USING (term) JOIN dl USING (doc_id) GROUP BY ALL),
-bmr AS (SELECT query_id, doc_id, round(bm25, 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, doc_id) AS rank FROM bm)"""
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({SEARCH_TOKENS}) AS term FROM ({asked})) GROUP BY ALL),
+bm AS (SELECT query_id, {key}, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl)))) AS bm25 FROM q JOIN stats USING (term) JOIN post USING (term) JOIN dl USING ({key}) GROUP BY ALL),
+bmr AS (SELECT query_id, {key}, round(bm25, 9) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, {key}) AS rank FROM bm)"""
+
+
+BM25_SQL = bm25_sql()
 
 
 _BUILT: dict[tuple[str, str], str] = {}
@@ -147,6 +152,12 @@ def r8_t7(spark: SparkSession, d: str) -> DataFrame:
     return S.boolean_search(_docs(spark, d), "doc_id", '(src1 OR "of the") AND NOT password', ["text", "source"])
 
 
+@query("t7_first_matches", "SELECT doc_id, left(text, 200) AS snippet FROM documents WHERE contains(lower(text), 'of the') ORDER BY doc_id LIMIT 25")
+def t7(spark: SparkSession, d: str) -> DataFrame:
+    """The first 25 documents, in corpus order, that meet a query."""
+    return S.boolean_search(_docs(spark, d), "doc_id", '"of the"', ["text"], limit=25)
+
+
 @query("f7_best_snippets", "WITH l AS (SELECT source AS job, doc_id, text FROM documents) SELECT job, left(coalesce(arg_min(text, doc_id) FILTER (contains(lower(text), 'password') OR contains(lower(text), 'akia')), arg_min(text, doc_id)), 200) AS snippet FROM l GROUP BY job")
 def f7(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).withColumnRenamed("source", "job")

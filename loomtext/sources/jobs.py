@@ -96,6 +96,32 @@ def phrase_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("ngram", "npmi", "effect_size")
 
 
+def read_phrases(spark: SparkSession, path: str) -> DataFrame:
+    """(ngram): the list of a phrase file ``{"phrases": [...]}``, each once; nulls and empty ones are left out."""
+    raw = spark.read.schema("phrases array<string>").option("multiLine", True).json(path)
+    return raw.select(F.explode("phrases").alias("ngram")).filter("ngram <> ''").distinct()
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, label, pos) of a label file ``{job: [label, ...]}`` or of such lines; jobs without labels have no row.
+
+    Of a label that a job has twice the first place counts; a file that isn't such a map gives no rows.
+    """
+    kind, mode = "map<string, array<string>>", {"mode": "PERMISSIVE"}
+    whole = spark.read.text(path, wholetext=True)
+    # a file is one map, which may span lines, or a map a line
+    lines = F.filter(F.split("value", "\n"), lambda x: x.rlike(r"^\s*\{.*\}\s*$"))
+    maps = F.transform(F.when(F.size(lines) > 0, lines).otherwise(F.array("value")), lambda x: F.from_json(x, kind, mode))
+    each = whole.select(F.explode(maps).alias("m")).filter("m is not null").select(F.explode("m").alias("job_id", "labels"))
+    return each.select("job_id", F.posexplode("labels").alias("pos", "label")).filter("label is not null").groupBy("job_id", "label").agg(F.min("pos").alias("pos")).select("job_id", "label", "pos")
+
+
+def write_labels(labels: DataFrame, path: str, job: str = "job_id", label: str = "label", order: str = "pos", mode: str = "overwrite") -> None:
+    """Labels as JSON lines ``{job: [label, ...]}``, a job a line, in their order; ``read_labels`` reads them a file at a time."""
+    lists = labels.groupBy(job).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, label))), lambda x: x[label]).alias("l"))
+    lists.select(F.to_json(F.create_map(F.col(job).cast("string"), "l")).alias("value")).write.mode(mode).text(path)
+
+
 class ClusterCache:
     """Cluster results as a Parquet table with a partition for each key; outlines and labels beside it.
 

@@ -169,3 +169,37 @@ def test_tables_and_cache(spark, jobs, tmp_path):
     assert made == [1]
     cache.invalidate(a)
     assert cache.keys() == [b]
+
+
+def test_phrase_and_label_files(spark, tmp_path):
+    phrases = tmp_path / "phrases.json"
+    phrases.write_text('{\n "phrases": ["data engineer", "", null,\n "data engineer", "sql"]\n}')
+    assert sorted(r.ngram for r in J.read_phrases(spark, str(phrases)).collect()) == ["data engineer", "sql"]
+    labels = tmp_path / "labels.json"
+    labels.write_text(json.dumps({"j1": ["b", "a", "b", None], "j2": [], "é": ["x"]}, indent=2))
+    want = [("j1", "a", 1), ("j1", "b", 0), ("é", "x", 0)]
+    read = J.read_labels(spark, str(labels))
+    assert sorted(tuple(r) for r in read.collect()) == want
+    J.write_labels(read, str(tmp_path / "lines"))
+    again = J.read_labels(spark, str(tmp_path / "lines"))
+    assert sorted((r.job_id, r.label) for r in again.collect()) == [(j, x) for j, x, _ in want]
+    assert {(r.job_id, r.label): r.pos for r in again.collect()}["j1", "b"] == 0
+    bad = tmp_path / "bad.json"
+    bad.write_text("not a map")
+    assert J.read_labels(spark, str(bad)).count() == 0
+
+
+def test_metadata_aspects_and_details_of_chunks(spark):
+    docs = spark.createDataFrame([(1, "Requirements:\n- Strong Python and SQL experience\n- At least 3 years of experience", "t1"), (2, "short", "t2"), (3, None, None)], "doc_id long, text string, title string")
+    rows = C.chunks(docs, "doc_id", "text")
+    meta = C.with_metadata(rows, docs, "doc_id").select("order", "meta.*").orderBy("order").collect()
+    assert len(C.META) == 14 and set(meta[0].asDict()) == {"order", *C.META} and [r.title for r in meta] == ["t1", "t1"] and meta[0].salary is None
+    vocab = spark.createDataFrame([("skills", "Python"), ("skills", "SQL"), ("tools", "none")], "aspect string, term string")
+    hits = A.extract(rows, "chunk_id", "text", vocab)
+    got = {r.order: r.aspects for r in C.with_aspects(rows, "chunk_id", hits).collect()}
+    assert got == {0: {"skills": ["Python", "SQL"]}, 1: {"experience": ["3 years of experience", "At least 3 years"]}}
+    evidence = {(r.aspect, r.value): r.evidence for r in hits.collect()}
+    assert evidence["skills", "SQL"] == "Strong Python and SQL experience"
+    full = {r.doc_id: r for r in C.details(docs, "doc_id", "text").collect()}
+    assert {k: (r.n_chunks, len(r.chunks), len(r.sections)) for k, r in full.items()} == {1: (2, 2, 1), 2: (0, 0, 0), 3: (0, 0, 0)}
+    assert full[2].full_text == full[3].full_text == ""
