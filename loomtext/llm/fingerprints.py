@@ -58,9 +58,12 @@ def fingerprint(text: Column) -> Column:
         return F.array(*[F.conv(F.substring(h, 1 + 16 * q, 16), 16, -10).cast("long") for q in range(LANES // 64)])
 
     def summed(part: Column) -> Column:
-        def word(k: Column) -> Column:
-            return F.aggregate(part, F.lit(0).cast("long"), lambda s, h: s + F.call_function("shiftrightunsigned", h[F.floor(k / WORDS).cast("int")], k % WORDS).bitwiseAND(F.lit(_ONES)))
-        return F.transform(F.sequence(F.lit(0), F.lit(LANES // PACKED - 1)), word)
+        def spread(quarter: Column) -> Column:
+            word = lambda i: F.aggregate(quarter, F.lit(0).cast("long"), lambda s, h: s + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(_ONES)))
+            return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word)
+
+        # a quarter's words are taken out once, so that the inner step is a shift, a mask and a sum
+        return F.concat(*[_let(F.transform(part, lambda h: F.get(h, q)), spread) for q in range(LANES // 64)])  # noqa: B023
 
     def together(parts: Column) -> Column:
         return F.aggregate(F.slice(parts, 2, F.size(parts)), F.element_at(parts, 1), lambda s, p: F.zip_with(s, p, _plus))
@@ -115,7 +118,7 @@ NO_ID = -(1 << 63)
 
 
 def previous(keys: DataFrame) -> DataFrame:
-    """(id, key, before_id, before_key, before_n) of distinct keys (id, key, n_chars) in their order; the last comes before the first.
+    """(id, key, before_id, before_key, before_n, before_doc) of distinct keys (id, key, n_chars, doc_id) in their order; the last comes before the first.
 
     A range sort numbers them; where a part begins, and what the part before ends with, is found among the parts.
     """
@@ -124,8 +127,8 @@ def previous(keys: DataFrame) -> DataFrame:
     # a row for each part
     jumps = parts.select(F.col("first").alias("at"), F.lag("last").over(Window.orderBy("part")).alias("jump"), F.max("last").over(Window.partitionBy()).alias("end"))
     placed = ordered.join(jumps, "at", "left").withColumn("before", F.when(F.col("end").isNull(), F.col("at") - 1).otherwise(F.coalesce("jump", "end")))
-    told = ordered.select(F.col("at").alias("before"), F.col("id").alias("before_id"), F.col("key").alias("before_key"), F.col("n_chars").alias("before_n"))
-    return placed.join(told, "before").select("id", "key", "before_id", "before_key", "before_n")
+    told = ordered.select(F.col("at").alias("before"), F.col("id").alias("before_id"), F.col("key").alias("before_key"), F.col("n_chars").alias("before_n"), F.col("doc_id").alias("before_doc"))
+    return placed.join(told, "before").select("id", "key", "before_id", "before_key", "before_n", "before_doc")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,9 +142,10 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("key"), "text")
-    order = C.written(previous(rows.select("id", "key", F.length("text").alias("n_chars")).distinct()))
+    order = C.written(previous(rows.select("id", "key", F.length("text").alias("n_chars"), "doc_id").distinct()))
+    rows = rows.select("id", "key", "text")  # the same columns on both ways, so that texts are shuffled once
     # each document sends the one before it as much of its text as that needs
-    sent = rows.join(order, ["id", "key"]).select("before_id", "before_key", F.left("text", F.floor(F.col("before_n") / 2).cast("int")).alias("put"), fingerprint(F.col("text")).alias("following"))
+    sent = rows.join(order, ["id", "key"]).select("before_id", "before_key", F.col("before_doc").alias("doc_id"), F.left("text", F.floor(F.col("before_n") / 2).cast("int")).alias("put"), fingerprint(F.col("text")).alias("following"))
     sent = sent.dropDuplicates(["before_id", "before_key"]).withColumnsRenamed({"before_id": "id", "before_key": "key"})
     met = rows.join(sent, ["id", "key"]).withColumn("n_chars", F.length("text").cast("long"))
     met = met.withColumn("edited", F.concat(F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")), "put"))
