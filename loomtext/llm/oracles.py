@@ -47,16 +47,26 @@ FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 ORACLES["op1_quotations"] = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 lines AS (
-  SELECT conv_id, turn, line, len(regexp_replace(regexp_extract(line, '^([ \t]*>[> \t]*)', 1), '[^>]', '', 'g')) AS level,
+  SELECT conv_id, turn, i, line, len(regexp_replace(regexp_extract(line, '^([ \t]*>[> \t]*)', 1), '[^>]', '', 'g')) AS level,
          trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*>[> \t]*', '')), '\s+', ' ', 'g')) AS norm
-  FROM m, unnest(string_split(text, chr(10))) AS t(line)
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m)
 ),
 per AS (SELECT conv_id, turn, count(*) AS n_quoted, max(level) AS max_level FROM lines WHERE level > 0 GROUP BY ALL),
-asked AS (SELECT DISTINCT conv_id, turn, level, norm FROM lines WHERE level > 0 AND regexp_matches(norm, '[\p{L}\p{N}]')),
-first AS (SELECT conv_id, norm, min(turn) AS source FROM lines WHERE level = 0 GROUP BY ALL),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run FROM lines WHERE regexp_matches(norm, '[\p{L}\p{N}]')),
+runs AS (SELECT conv_id, turn, level, list(norm ORDER BY i) AS ns FROM told GROUP BY conv_id, turn, level, run),
+asked AS (SELECT DISTINCT conv_id, turn, level, ns FROM runs WHERE level > 0),
+lengths AS (SELECT DISTINCT conv_id, len(ns) AS n FROM asked UNION SELECT DISTINCT conv_id, 1 FROM asked),
+first AS (
+  SELECT r.conv_id, array_to_string(ns[i : i + n - 1], chr(10)) AS passage, min(turn) AS source
+  FROM runs r JOIN lengths l ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.level = 0 AND l.n <= len(r.ns), unnest(generate_series(1, len(ns) - n + 1)) AS t(i) GROUP BY ALL),
+whole AS (SELECT a.*, CASE WHEN f.source < a.turn THEN f.source END AS source FROM asked a LEFT JOIN first f ON a.conv_id IS NOT DISTINCT FROM f.conv_id AND array_to_string(a.ns, chr(10)) = f.passage),
+single AS (SELECT DISTINCT conv_id, turn, level, unnest(ns) AS norm FROM whole WHERE source IS NULL),
 found AS (
-  SELECT a.conv_id, a.turn, a.level, f.source, count(*) AS n
-  FROM asked a JOIN first f ON a.conv_id IS NOT DISTINCT FROM f.conv_id AND a.norm = f.norm AND f.source < a.turn GROUP BY ALL
+  SELECT conv_id, turn, level, source, sum(n) AS n FROM (
+    SELECT conv_id, turn, level, source, len(ns) AS n FROM whole WHERE source IS NOT NULL
+    UNION ALL
+    SELECT s.conv_id, s.turn, s.level, f.source, 1 FROM single s JOIN first f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND s.norm = f.passage AND f.source < s.turn
+  ) GROUP BY ALL
 ),
 parents AS (
   SELECT conv_id, turn, source AS reply_to, CAST(total AS BIGINT) AS n_linked

@@ -1,11 +1,12 @@
 """Quotation linking in chats, in DataFrame functions only.
 
-A line's quote level is its number of leading ``>``. Quoted lines, normalised (A-Z and other letters lower-cased, white
-space collapsed), are hashed and joined to the first message of the conversation whose own, unquoted lines hold the same
-line; messages without quotes skip all that. A message replies to the message that most of its quoted lines come from,
-level by level outwards: the lines of level 1 decide, if any of them is known. Threads are what explicit replies link;
-their roots are found by pointer doubling. Sorted by (conv_id, thread, turn), a conversation is in reply order: every
-reply comes after what it answers, without the quotes.
+A line's quote level is its number of leading ``>``. Lines next to each other of one level are a passage; normalised
+(letters lower-cased, white space collapsed, lines without a letter or digit left out), it is hashed and joined to the
+first message of the conversation that holds the same lines, one after the other, as its own. Lines of a passage that no
+message before holds as a whole are looked up one by one. Messages without quotes skip all that. A message replies to
+the message that most of its quoted lines come from, level by level outwards: the lines of level 1 decide, if any of
+them is known. Threads are what explicit replies link; their roots are found by pointer doubling. Sorted by (conv_id,
+thread, turn), a conversation is in reply order: every reply comes after what it answers, without the quotes.
 """
 
 from __future__ import annotations
@@ -39,24 +40,51 @@ def own_text(text: Column) -> Column:
     return F.btrim(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(_MARK)), "\n"), F.lit(" \t\n\x0b\f\r"))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def passages(text: Column) -> Column:
+    """Array of (level, lines): runs of normalised lines of one level, without lines that have no letter or digit; level 0 is the message's own."""
+    each = F.transform(F.split(text, "\n"), lambda x: F.struct(level(x).alias("level"), normalised(x).alias("line")))
+
+    def runs(rows: Column) -> Column:
+        first = F.filter(F.transform(rows, lambda x, i: F.when((i == 0) | (x["level"] != F.get(rows, i - 1)["level"]), i)), lambda i: i.isNotNull())
+        upto = lambda starts, k: F.when(k + 1 < F.size(starts), F.get(starts, k + 1)).otherwise(F.size(rows))
+        cut = lambda starts: F.transform(starts, lambda s, k: F.struct(F.get(rows, s)["level"].alias("level"), F.slice(rows, s + 1, upto(starts, k) - s)["line"].alias("lines")))
+        return _bound(first, cut)
+
+    return _bound(F.filter(each, lambda x: x["line"].rlike(r"[\p{L}\p{N}]")), runs)
+
+
 def links(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of messages (conv_id, turn, text): (conv_id, turn, n_quoted, max_level) of those that quote, and their links (conv_id, turn, level, reply_to, lines).
 
-    A line that only punctuation or nothing is left of isn't looked up. The original of a line is the earliest turn
-    that has it unquoted; it must be before the quoting one.
+    The original of a passage is the earliest turn that has its lines unquoted, one after the other; it must be before
+    the quoting one. Else each of its lines counts for the earliest turn that has it, if that is before.
     """
     quoting = messages.filter(F.col("text").rlike("(?m)" + _MARK))
-    lines = quoting.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line")).withColumn("level", level(F.col("line"))).filter("level > 0")
-    lines = lines.withColumn("norm", normalised(F.col("line")))
-    per = lines.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quoted"), F.max("level").alias("max_level"))
-    asked = lines.filter(F.col("norm").rlike(r"[\p{L}\p{N}]")).select("conv_id", "turn", "level", _hash(F.col("norm")).alias("hash")).distinct()
-    asked = C.written(asked)
-    # only conversations that quote need their lines indexed
-    talks = asked.select("conv_id").distinct()
-    own = messages.join(talks, messages["conv_id"].eqNullSafe(talks["conv_id"]), "left_semi").select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line")).filter(~F.col("line").rlike(_MARK))
-    first = C.written(own.select("conv_id", "turn", _hash(normalised(F.col("line"))).alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("source")))
-    met = C.null_safe(asked, first, ["conv_id", "hash"], "inner").filter("source < turn")
-    return per, met.groupBy("conv_id", "turn", "level", F.col("source").alias("reply_to")).agg(F.count("*").alias("lines"))
+    levels = F.filter(F.transform(F.split("text", "\n"), level), lambda n: n > 0)
+    per = quoting.select("conv_id", "turn", levels.alias("l")).filter(F.size("l") > 0).groupBy("conv_id", "turn").agg(F.sum(F.size("l")).alias("n_quoted"), F.max(F.array_max("l")).alias("max_level"))
+    asked = quoting.select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p")).filter("p.level > 0")
+    asked = C.written(asked.select("conv_id", "turn", "p.level", "p.lines").distinct())
+    # only conversations that quote need their lines indexed, in passages of the lengths that are asked for
+    lengths = asked.groupBy("conv_id").agg(F.array_union(F.array(F.lit(1)), F.collect_set(F.size("lines"))).alias("lengths"))
+    own = messages.select("conv_id", "turn", F.explode(passages(F.col("text"))).alias("p")).filter("p.level = 0").select("conv_id", "turn", "p.lines")
+    own = C.null_safe(own, lengths, ["conv_id"], "inner").select("conv_id", "turn", "lines", F.explode("lengths").alias("n")).filter(F.col("n") <= F.size("lines"))
+    at = F.explode(F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1)).alias("at")
+    held = own.select("conv_id", "turn", "lines", "n", at).select("conv_id", "turn", _hash(F.array_join(F.slice("lines", F.col("at"), F.col("n")), "\n")).alias("hash"))
+    first = C.written(held.groupBy("conv_id", "hash").agg(F.min("turn").alias("source")))
+
+    def found(rows: DataFrame) -> DataFrame:
+        return C.null_safe(rows, first, ["conv_id", "hash"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
+
+    whole = C.written(found(asked.withColumn("hash", _hash(F.array_join("lines", "\n")))))
+    lines = whole.filter("source is null").select("conv_id", "turn", "level", F.explode("lines").alias("line")).distinct()
+    single = found(lines.withColumn("hash", _hash(F.col("line")))).filter("source is not null").select("conv_id", "turn", "level", "source", F.lit(1).alias("n"))
+    met = whole.filter("source is not null").select("conv_id", "turn", "level", "source", F.size("lines").alias("n")).union(single)
+    return per, met.groupBy("conv_id", "turn", "level", F.col("source").alias("reply_to")).agg(F.sum("n").alias("lines"))
 
 
 def replies(found: DataFrame) -> DataFrame:

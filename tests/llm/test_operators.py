@@ -396,3 +396,77 @@ def test_quotations(spark):
     assert (by[1, 4].reply_to, by[1, 4].n_linked, by[1, 70].reply_to, by[1, 70].content, by[2, 1].reply_to) == (3, 0, 2, "", None)
     assert (by[None, 1].reply_to, by[3, None].thread) == (0, None)
     assert len(got) == len(rows) and conversations(d.filter("false")).count() == 0
+
+
+def test_quoted_passages_are_found_as_a_whole(spark):
+    # "ok" stands alone in turn 0; the passage with it is turn 1's
+    rows = [
+        (1, 0, "ok\nfirst"), (1, 1, "some\nok\nwords"), (1, 2, "> ok\n> words\nyes"), (1, 3, "> ok\nno"), (1, 4, ">> some\n>> ok\n> yes\nand"),
+        (1, 5, "> words\n> first\nmixed"), (1, 6, "> ok\n>\n> words\n> ***\nblank lines between"), (1, 7, "> later\nx"), (1, 8, "later"), (2, 0, "ok\nwords"),
+    ]
+    d = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    by = {r.turn: (r.reply_to, r.n_linked) for r in conversations(d).filter("conv_id = 1").collect()}
+    assert by[2] == (1, 2) and by[3] == (0, 1) and by[4] == (2, 3) and by[6] == (1, 2)
+    assert by[5] == (1, 2) or by[5] == (0, 2)
+    assert by[5][0] == 1  # equally many lines of both: the later original
+    assert by[7] == (6, 0)
+
+
+def plain_links(rows):
+    """(conv, turn) -> (reply_to, n_linked), by loops over a conversation's messages."""
+    level = lambda x: len(re.match(r"([ \t]*>[> \t]*)?", x)[0].replace(" ", "").replace("\t", ""))
+    norm = lambda x: re.sub(r"\s+", " ", re.sub(r"^[ \t]*>[> \t]*", "", x).lower()).strip(" ")
+    runs = {}
+    for c, t, text in rows:
+        out = []
+        for x in text.split("\n"):
+            if re.search(r"\w", norm(x).replace("_", "")):
+                if out and out[-1][0] == level(x):
+                    out[-1][1].append(norm(x))
+                else:
+                    out.append((level(x), [norm(x)]))
+        runs[c, t] = out
+
+    def original(c, t, lines):
+        for k in sorted(k for k in runs if k[0] == c):
+            for lev, own in runs[k]:
+                if lev == 0 and any(own[i : i + len(lines)] == lines for i in range(len(own) - len(lines) + 1)):
+                    return k[1] if k[1] < t else None
+        return None
+
+    got = {}
+    for (c, t), parts in runs.items():
+        votes, loose = defaultdict(lambda: defaultdict(int)), set()
+        for lev, lines in {(lev, tuple(lines)) for lev, lines in parts if lev}:
+            source = original(c, t, list(lines))
+            if source is None:
+                loose |= {(lev, x) for x in lines}
+            else:
+                votes[lev][source] += len(lines)
+        for lev, x in loose:
+            source = original(c, t, [x])
+            if source is not None:
+                votes[lev][source] += 1
+        if votes:
+            best = max((n, s) for s, n in votes[min(votes)].items())[1]
+            got[c, t] = best, sum(sum(v.values()) for v in votes.values())
+    return got
+
+
+def test_quotations_equal_plain_loops(spark):
+    rng = random.Random(12)
+    rows = []
+    for c in range(12):
+        said = []
+        for t in range(14):
+            lines = [rng.choice(["ok", "Yes", "no way", "a b", "--", ""]) if rng.random() < 0.5 else f"line {rng.randint(0, 9)}" for _ in range(rng.randint(1, 5))]
+            if said and rng.random() < 0.7:
+                part = rng.choice(said)
+                i = rng.randrange(len(part))
+                lines = [rng.choice(["> ", ">", ">> "]) + x for x in part[i : i + rng.randint(1, 4)]] + lines
+            said.append(lines)
+            rows.append((c, t, "\n".join(lines)))
+    d = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    want = plain_links(rows)
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_linked) for r in conversations(d).collect() if r.n_linked}
+    assert got == want and len(want) > 40
