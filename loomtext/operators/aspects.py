@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import rules as R
 from .matching import VOCABULARY_TOKEN, similar_names, term_hits
+from .store import written
 
 VALUE = "struct<no:int,value:string,evidence:string>"
 
@@ -104,11 +105,11 @@ def vocabulary_hits(docs: DataFrame, key: str, text: str, vocabulary: DataFrame,
     """
     vocab = vocabulary.select("aspect", F.col("term").alias("_term"), F.lower("term").alias("term"))
     if match == "substring":
-        names = vocab.groupBy("aspect", "term").agg(F.min("_term").alias("value"))
+        names = written(vocab.groupBy("aspect", "term").agg(F.min("_term").alias("value")))
         hits = term_hits(docs, key, text, names).groupBy(key, "term").agg(F.min("pos").alias("pos"), F.min_by("evidence", "pos").alias("evidence"))
         return hits.join(names, "term").select(key, "aspect", "term", "value", "pos", "evidence")
     forms = vocab.withColumn("_t", F.regexp_extract_all("term", F.lit(VOCABULARY_TOKEN), F.lit(0))).filter(F.size("_t") > 0)
-    forms = forms.select("aspect", "term", F.array_join("_t", " ").alias("_form")).distinct()
+    forms = written(forms.select("aspect", "term", F.array_join("_t", " ").alias("_form")).distinct())  # a vocabulary may be costly to make
     hits = term_hits(docs, key, text, forms.select(F.col("_form").alias("term")), words=True)
     once = hits.groupBy(key, F.col("term").alias("_form")).agg(F.min_by("value", "pos").alias("value"), F.min_by("evidence", "pos").alias("evidence"), F.min("pos").alias("pos"))
     return once.join(forms, "_form").select(key, "aspect", "term", "value", "pos", "evidence")

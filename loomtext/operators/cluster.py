@@ -14,7 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +28,10 @@ LEVELS = 20
 
 def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, embedding): the mean of each key's vectors, at unit length (a zero mean stays)."""
-    means = rows.select(key, F.posexplode(vector).alias("_i", "_v")).groupBy(key, "_i").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
-    out = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias("_v"), F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_n"))
-    return out.select(key, F.transform("_v", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).alias("embedding"))
+    own = rows.filter(F.col(vector).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
+    means = own.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_m"))
+    norm = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda s, x: s + x * x))
+    return means.withColumn("_n", norm).select(key, F.transform("_m", lambda x: x / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).alias("embedding"))
 
 
 #: Dimensions of aspect features, at most: the driver holds their squared Gram matrix.
@@ -87,6 +89,7 @@ def projected(rows: DataFrame, vector: str, base: np.ndarray, names: tuple[str,
 
 def auto_kmeans(rows: DataFrame, features: list[str], min_cluster_size: int = 10, seed: int = 42, most: int = 12) -> DataFrame:
     """``rows`` with cluster_id: k-means of the k with the best (squared Euclidean) silhouette; one cluster with under two rows."""
+    rows = written(rows)  # read by every fit
     n = rows.count()
     if n < 2:
         return rows.withColumn("cluster_id", F.lit(0))
@@ -191,7 +194,7 @@ def rollup(points: DataFrame, title: str, position: str, named: DataFrame | None
 
 def with_labels(points: DataFrame, named: DataFrame) -> DataFrame:
     """Points with label and keywords of their cluster; ``Noise`` and none for noise."""
-    out = points.join(F.broadcast(named.select("cluster_id", "label", "keywords")), "cluster_id", "left")
+    out = points.join(named.select("cluster_id", "label", "keywords"), "cluster_id", "left")
     label = F.when(F.col("cluster_id") == NOISE, F.lit("Noise")).otherwise(F.coalesce("label", F.concat(F.lit("Cluster "), F.col("cluster_id"))))
     return out.withColumn("label", label).withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
