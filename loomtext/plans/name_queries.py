@@ -39,7 +39,19 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return A.normalised(names, A.aliases(spark), fuzzy=False).select("doc_id", "entity", "canonical")
 
 
-@query("a12_fuzzy_names", None)
+#: The longest common subsequence's row after each character of a form: the greatest of what stood there and of one more than before any match so far.
+_A12 = f"""WITH {_ALIAS_SQL}, m AS (SELECT doc_id, left(s, 2) || substring(s, 2, 100) AS entity FROM (SELECT doc_id, {_mention_sql('0')} AS s FROM documents)),
+e AS (SELECT DISTINCT lower(trim(entity)) AS form FROM m WHERE lower(trim(entity)) NOT IN (SELECT alias FROM known)),
+p AS (SELECT form, canonical, list_transform(string_split(form, ''), lambda x: [unicode(x)]) AS f, list_transform(string_split(lower(canonical), ''), lambda x: unicode(x)) AS n
+  FROM e JOIN (SELECT DISTINCT canonical FROM known) ON 200 * least(len(form), len(canonical)) >= 85 * (len(form) + len(canonical))),
+l AS (SELECT form, canonical, list_reduce(f, lambda row, x: list_transform(range(1, len(n) + 1), lambda j:
+    greatest(row[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda t: n[t] = x[1]), lambda t: coalesce(row[t - 1], 0) + 1)), 0))), list_transform(n, lambda x: 0)) AS row FROM p),
+near AS (SELECT form, canonical, 200.0 * list_max(row) / (len(form) + len(canonical)) AS r FROM l),
+best AS (SELECT form, canonical AS nearest FROM near WHERE r >= 85 QUALIFY row_number() OVER (PARTITION BY form ORDER BY r DESC, canonical) = 1)
+SELECT doc_id, entity, coalesce(canonical, nearest, trim(entity)) AS canonical FROM m LEFT JOIN known ON lower(trim(entity)) = alias LEFT JOIN best ON lower(trim(entity)) = form"""
+
+
+@query("a12_fuzzy_names", _A12)
 def a12(spark: SparkSession, d: str) -> DataFrame:
     """Spellings with their second character twice."""
     once = _mention(0)
