@@ -43,10 +43,7 @@ _BUILT: dict[tuple[str, str], str] = {}
 
 def _index(spark: SparkSession, d: str) -> I.Index:
     """The documents' index: built by the session's first search, read by the others."""
-    known = (spark.sparkContext.applicationId, d)
-    if known not in _BUILT:
-        _BUILT[known] = I.build(_docs(spark, d), "doc_id", "text")
-    return I.opened(spark, _BUILT[known], "doc_id")
+    return I.kept(spark, _BUILT, (spark.sparkContext.applicationId, d), "doc_id", lambda: I.build(_docs(spark, d), "doc_id", "text"))
 
 
 def _bm(spark: SparkSession, d: str) -> DataFrame:
