@@ -492,3 +492,25 @@ def test_quality_regression_is_the_optimum_of_plain_sums():
         gradient = [g + (t - p) * a for g, a in zip(gradient, row)]
     gradient = [g - (1e-6 * (b - base) if k == 0 else b) for k, (g, b) in enumerate(zip(gradient, w))]
     assert max(map(abs, gradient)) < 1e-5 and max(map(abs, w)) > 0.3
+
+
+def test_small_tables_take_few_tasks_however_many_partitions_a_shuffle_has(spark):
+    rng = random.Random(31)
+    base = [prose(rng, 60) for _ in range(6)]
+    texts = [*base, *(edited(rng, base[k % 3], 1) for k in range(40)), None, "one two"]
+    want = sorted(((r.doc_id, r.component_id, r.n_shingles) for r in near_dedup.near_duplicates(docs(spark, texts), limit=4).collect()), key=str)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = near_dedup.near_duplicates(docs(spark, texts), limit=4)
+        edges = spark.createDataFrame([(k, k + 1) for k in range(0, 9)] + [(20, 21)], "a long, b long")
+        reached = near_dedup.components(edges)
+        most = spark.sparkContext.defaultParallelism
+        assert got.rdd.getNumPartitions() <= most and len(reached.inputFiles()) <= 2 * most
+        assert sorted(((r.doc_id, r.component_id, r.n_shingles) for r in got.collect()), key=str) == want
+        assert sorted(map(tuple, reached.collect())) == [*((k, 0) for k in range(10)), (20, 20), (21, 20)]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len({c for _, c, _ in want}) < len(want) - 30
