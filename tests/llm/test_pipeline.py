@@ -75,3 +75,19 @@ def test_an_id_with_two_texts_is_two_documents(spark):
     want = [(1, a), (5, b), (9, d), (9, None), (9, ""), (None, d), (None, d), (2, "x " * 40_000)]
     assert sorted(kept, key=str) == sorted([*want, *one_of_8], key=str)
     assert corpus_pipeline.near_copies(spark, docs.filter("false"), "").count() == 0
+
+
+def test_batches_of_texts_are_small(spark):
+    reader, arrow = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = {k: spark.conf.get(k) for k in (reader, arrow)}
+    try:
+        spark.conf.set(reader, "4096")
+        spark.conf.set(arrow, str(8 << 20))
+        common.bounded_batches(spark)
+        assert int(spark.conf.get(reader)) <= 512 and int(spark.conf.get(arrow)) <= 2 << 20
+        spark.conf.set(reader, "100")
+        common.bounded_batches(spark)
+        assert spark.conf.get(reader) == "100"
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
