@@ -203,3 +203,37 @@ def test_metadata_aspects_and_details_of_chunks(spark):
     full = {r.doc_id: r for r in C.details(docs, "doc_id", "text").collect()}
     assert {k: (r.n_chunks, len(r.chunks), len(r.sections)) for k, r in full.items()} == {1: (2, 2, 1), 2: (0, 0, 0), 3: (0, 0, 0)}
     assert full[2].full_text == full[3].full_text == ""
+
+
+def test_chunks_and_details_stay_in_their_row(spark):
+    """Sections, chunks and details shuffle nothing, and give what the forms of several rows give."""
+    text = "Intro line one. " + "A sentence of some length stands here again. " * 60 + "\n\nRequirements:\n- Python and SQL for reports\n- a second longer bullet\n  goes on here\nBENEFITS\n" + "Pension is paid each month to all of us. " * 40
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "Requirements:\nBENEFITS\nx")], "doc_id long, text string")
+    out = C.details(docs, "doc_id", "text")
+    for df in (out, C.chunks(docs, "doc_id", "text"), C.sections(docs, "doc_id", "text", "structural")):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = C.chunks(docs, "doc_id", "text")
+    whole = {r.doc_id: r.full_text for r in C.without_overlap(rows, "doc_id", "order", "text").collect()}
+    own = {}
+    for r in C.sections(C.without_overlap(rows, "doc_id", "order", "text"), "doc_id", "full_text", "structural").orderBy("start_line").collect():
+        own.setdefault(r.doc_id, []).append((r.start_line, r.name or "intro", r.text))
+    got = {r.doc_id: r for r in out.collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[1].n_chunks > 5 and {s.section_raw for s in rows.collect()} == {None, "Requirements:", "BENEFITS"}
+    for k, r in got.items():
+        assert r.full_text == whole.get(k, "") and [tuple(s) for s in r.sections] == own.get(k, []) and r.n_chunks == len(r.chunks)
+        assert [(c.order, c.section, c.text) for c in r.chunks] == [(c.order, c.section, c.text) for c in rows.filter(F.col("doc_id") == k).orderBy("order").collect()]
+
+
+def test_similar_jobs_leave_their_own_chunks_out(spark, tmp_path, monkeypatch):
+    """A job of many like chunks doesn't take the places of others, and only the best rows of a task leave it."""
+    from loomtext.operators import index
+    from loomtext.plans import registry
+
+    def every(*_, **__):
+        raise AssertionError("all scores were asked for")
+
+    monkeypatch.setattr(index, "scores", every)
+    line = "A sentence about the same few words in it. "
+    spark.createDataFrame([(0, "title\n" + line * 900, "s"), (7, line, "s"), (9, "Words of another kind altogether here.", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["r10_jobs_by_title_and_text"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(0, 7), (0, 9)] and {r["rank"] for r in got} == {1, 2}
